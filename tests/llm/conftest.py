@@ -1,0 +1,23 @@
+import pytest
+
+#: Texts that operators must bear: null, empty, white space only, very long, special strings, repeated rows, other scripts.
+TEXTS = [None, "", " \n\t", "a", "one two three four five six seven eight nine ten eleven.", "one two three four five six seven eight nine ten eleven.", "x" * 20_000, "word and " * 5_000, "<|endoftext|>", "a<|endoftext|> b  c\n\n d", "It's the CITY'S \x85 \x1c \u3000 end \u00a0", "日本語のテキスト。 ñandú Ωμέγα 🙂🙂 \U0001f468\u200d\U0001f469", "tab\tand\r\nnew   line \n  x", "\u088f\U00016d40 new letters \u0558"]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """The texts as documents, with equal rows, a null id, null sources, and extra columns named like results."""
+    rows = [(i, t, "en", f"src{i % 3}" if i % 5 else None, len(t or ""), "x", 7) for i, t in enumerate(TEXTS)]
+    rows += [rows[4], rows[4], (None, "of no id at all but ten words long or so.", None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size int").repartition(3)
+
+
+@pytest.fixture(scope="session")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    t.no_padding()
+    return t
