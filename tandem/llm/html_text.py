@@ -34,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Enclosing elements, and words of their class, id or role, that speak for or against the article.
 OUTSIDE = frozenset("nav aside footer form menu dialog fieldset search".split())
 INSIDE = frozenset("article main".split())
-AGAINST = frozenset("ad ads adv advert advertisement advertising advertorial banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus discussion footer gdpr header login masthead menu modal nav navbar navigation navigation newsletter notice notices overlay paywall popup promo promotion promoted recommended related replies reply responses search share sharing shares sidebar signup site-footer site-header skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
+AGAINST = frozenset("ad ads adv advert advertisement advertising advertorial alert alerts banner banners branding breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion footer gdpr imprint login logo masthead menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promotion promoted recommended related replies reply responses search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -57,14 +57,14 @@ class Block:
     item: int
 
 
-def _named(attributes: str) -> tuple[int, int]:
-    """Whether class, id or role speak against the article, and for it."""
+def _named(attributes: str) -> tuple[int, int, int]:
+    """Whether class, id or role speak against the article, for it, and of a header."""
     found = [m[1] or m[2] or m[3] or "" for m in _NAMED.finditer(attributes)] if "=" in attributes else []
     if not found:
-        return 0, 0
+        return 0, 0, 0
     names = " ".join(found).lower()
     words = {*_PIECES.findall(names), *names.split()}
-    return int(not words.isdisjoint(AGAINST)), int(not words.isdisjoint(FOR))
+    return int(not words.isdisjoint(AGAINST)), int(not words.isdisjoint(FOR)), int("header" in words)
 
 
 def blocks(page: str) -> list[Block]:
@@ -128,11 +128,12 @@ def blocks(page: str) -> list[Block]:
         _, silent, outside, against, inside, headed, heading, item = stack[-1]
         if name in ("script", "style"):
             silent_until = name
-        against_now, for_now = _named(m[3])
+        against_now, for_now, header_now = _named(m[3])
         silent |= int(name in SILENT or bool(_HIDDEN.search(m[3])))
-        if name in INSIDE or for_now and not against_now:
+        if name in INSIDE or for_now and not against_now and not header_now:
             inside = 1
-        stack.append((name, silent, outside | int(name in OUTSIDE), against | against_now, inside, headed | int(name == "header"), heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt"))))
+        header_now |= int(name == "header")
+        stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), against | against_now, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt"))))
         links += name == "a"
     if not silent_until:
         say(page[position:], position)
@@ -144,27 +145,94 @@ def features(found: list[Block]) -> np.ndarray:
     """A row a block: words and link density of it, of the one before and the one after, and what encloses it."""
     own = np.array([[b.words, b.linked] for b in found], np.float64).reshape(-1, 2)
     edge = np.array([[0.0, 1.0]])
-    around = np.array([[b.outside, b.against, b.inside, b.headed * (1 - b.heading), b.heading, b.item] for b in found], np.float64).reshape(-1, 6)
+    around = np.array([[b.outside | b.against, b.inside, b.headed * (1 - b.heading), b.heading, b.item] for b in found], np.float64).reshape(-1, 5)
     return np.hstack([own, np.vstack([edge, own[:-1]]) if len(own) else own, np.vstack([own[1:], edge]) if len(own) else own, around])
 
 
 _LONG = "It was a long walk down to the harbour, and by the time they came to the water the boats had gone out. "
 _MID = "Nobody had expected rain that day."
-#: The labelled table: pages as pieces of markup, each with 1 if its blocks are of the article.
-LABELLED: list[list[tuple[int, str]]] = [
-    [(0, "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>World</a></li><li><a href=/c>Sport news</a></li></ul></nav>"), (0, f"<div class='ad'>{_MID}</div>"), (1, f"<article><h1>Rain at the harbour</h1><p>{_LONG * 3}</p><p>{_MID}</p><p>Yes.</p><p>{_LONG}</p></article>"), (0, f"<footer>&copy; The Gazette. {_MID}</footer>")],
-    [(0, "<header><h1><a href=/>The Gazette</a></h1><p>News for all since 1921</p></header><ul class=menu><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul>"), (1, f"<main><h1>A day out</h1><p>{_LONG * 2}</p><ul><li>Bread</li><li>Two apples and a knife</li></ul><p>{_MID}</p>"), (0, f"<aside><h2>Related</h2><p>{_LONG}</p><a href=/x>More on boats</a></aside>"), (1, f"<h2>Home again</h2><p>{_LONG * 2} <a href=/y>the old map</a> {_MID}</p></main>"), (0, f"<section id=comments><h3>3 comments</h3><p>{_LONG * 2}</p><p>{_MID}</p></section><footer><p>{_LONG}</p></footer>")],
-    [(0, "<div id=header><div class=logo>Daily Post</div></div><div class=breadcrumb><a href=/>Home</a> &gt; <a href=/n>News</a></div>"), (1, f"<div id=content><h1>Short title</h1><div>{_LONG}</div><div>{_MID}</div><p>{_LONG * 4}</p><blockquote>{_MID}</blockquote></div>"), (0, f"<div class=sidebar><h4>Popular</h4><p>{_LONG * 2}</p><ul><li><a href=/p>Most read</a></li></ul></div><div class='cookie-notice'><p>{_LONG}</p></div><form><label>Your name</label><p>{_LONG}</p></form>"), (0, f"<div class='footer'>{_LONG}</div>")],
-    [(0, "<div><a href=/1>Front page</a> <a href=/2>Weather</a> <a href=/3>Letters</a></div><p><a href=/login>Log in</a></p>"), (1, f"<h1>Plain page</h1><p>{_LONG * 3}</p><p>{_LONG * 2}</p><p>{_MID} {_LONG}</p>"), (0, "<p><a href=/prev>Older</a> | <a href=/next>Newer</a></p><div>Copyright 2021</div><div><a href=/t>Terms</a> <a href=/p>Privacy</a></div>")],
-    [(0, f"<dialog><p>{_LONG}</p></dialog><div class=banner><p>{_MID}</p></div>"), (1, f"<article><header><h1>Night train</h1></header><p>{_LONG}</p>"), (0, f"<div class='ad'><p>{_LONG}</p></div><div class='newsletter'><p>{_MID}</p></div>"), (1, f"<h2>Part two</h2><p>{_LONG * 2}</p><table><tr><td>Oslo</td><td>9</td></tr></table><p>No.</p>"), (0, f"<footer><p>By our reporter</p></footer><div class='share'><a href=/s>Share</a></div><div class='related'><p>{_LONG}</p></div></article>"), (0, f"<div class=comments><article class=comment><p>{_LONG}</p></article></div>")],
-    [(0, f"<article><header><p>By A. Writer, 3 May</p><span>5 minutes</span></header></article><nav><p>{_LONG}</p></nav>"), (1, f"<article><p>{_MID}</p><p>{_LONG}</p><p>See <a href=/m>the map of the old harbour and its three bridges</a></p><p><a href=/only>A linked line</a></p></article>"), (0, f"<aside class=notice>{_LONG}</aside><footer>{_MID}</footer>")],
-]
+#: Parts of labelled pages: what stands before an article, what stands after it, what is put into it, and what holds it.
+BEFORE = [
+    "",
+    "",
+    "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>World</a></li></ul></nav>",
+    f"<header><h1><a href=/>The Gazette</a></h1><p>{_MID}</p></header><div class=ad>{_LONG}</div>",
+    "<div><a href=/>Start</a> | <a href=/a>About us</a></div><p>Today is Monday</p>",
+    f"<div id=header><div class=logo>Daily Post</div></div><div class=breadcrumb><a href=/>Home</a> &gt; News</div><div class=notice>{_LONG}</div>",
+    f"<dialog><p>{_LONG}</p></dialog><div class='cookie-banner'><p>{_LONG}</p></div><ul class=menu><li>One</li><li>Two</li></ul>",
+    f"<div class='site-header'><h1>Blog</h1><p>{_LONG}</p></div><form><label>Search</label><p>{_LONG}</p></form>",
+    "<span>Menu</span>",
+    f"<div class=banner>{_LONG * 2}</div><div id=header>{_MID}</div>",
+    f"<div id=top><a href=/1>One</a></div><nav>{_LONG * 3}</nav>",
+]
+AFTER = [
+    "",
+    "",
+    f"<footer>&copy; The Gazette. {_MID}</footer>",
+    f"<section id=comments><h3>3 comments</h3><p>{_LONG * 2}</p><p>{_MID}</p></section><footer><p>{_LONG}</p></footer>",
+    "<div>Copyright 2003 by its writer. <a href=/m>Mail</a></div>",
+    f"<aside><h2>More</h2><p>{_LONG}</p><a href=/x>On boats</a></aside><div class=footer>{_LONG}</div>",
+    "<p><a href=/prev>Older</a> <a href=/next>Newer</a></p><p>All rights reserved</p>",
+    f"<div class=related><a href=/r>Read this too</a><p>{_LONG}</p></div><div class=comments><article class=comment><p>{_LONG}</p></article></div>",
+    "<div><small>Last change: May</small></div><p><a href=/up>Up</a></p>",
+    f"<div class=sidebar><h4>Popular</h4><p>{_LONG * 2}</p><ul><li>Most read</li></ul></div><div id=footer><p>{_MID}</p></div>",
+    f"<nav><a href=/1>Next page</a></nav><form><p>{_LONG}</p></form>",
+    f"<footer><p>{_LONG}</p><p>{_LONG * 2}</p></footer>",
+    f"<aside><p>{_LONG * 3}</p></aside><form><p>{_MID}</p></form>",
+    "<div><a href=/t>Terms</a> <a href=/p>Privacy</a></div>",
+    f"<article><div class='post-header'><p>Posted on 3 May</p></div></article><div class='respond'><p>{_LONG}</p></div>",
+]
+INTO = [
+    "",
+    f"<div class=ad><p>{_LONG}</p></div>",
+    f"<aside><p>{_LONG}</p></aside>",
+    f"<div class='share'><a href=/s>Share</a></div><div class=newsletter><p>{_MID}</p><p>{_LONG}</p></div>",
+    f"<div class='sponsored'>{_LONG}</div><nav><p>{_MID}</p></nav>",
+]
+HELD = [
+    ("<article>", "</article>", "<h1>Rain at the harbour</h1>"),
+    ("<main>", "</main>", "<h1>A day out</h1>"),
+    ("<div id=content>", "</div>", "<h1>Short title</h1>"),
+    ("<div class='entry-content'>", "</div>", ""),
+    ("<article><header><h1>Night train</h1></header>", "</article>", ""),
+    ("<article><div class='entry-header'><h1>A storm</h1></div><div class='post-body'>", "</div></article>", ""),
+    ("<section class='story'>", "</section>", "<h2>On foot</h2>"),
+]
+#: First and second half of an article; those of LOOSE make sense without anything that holds them.
+HALVES = [
+    (f"<p>{_LONG * 3}</p><p>{_MID}</p><p>Yes.</p>", f"<p>{_LONG}</p>"),
+    (f"<p>{_MID}</p>", f"<p>{_LONG * 2}</p><ul><li>Bread</li><li>Two apples and a knife</li></ul><p>No.</p>"),
+    (f"<div>{_LONG}</div><div>{_MID}</div>", f"<blockquote>{_MID}</blockquote><p>{_LONG * 2} <a href=/y>the old map</a> {_MID}</p>"),
+    (f"<p>{_LONG}</p><p>See <a href=/m>the map of the old harbour and its three bridges</a></p>", f"<h2>Home again</h2><p>{_MID}</p>"),
+    ("<p>Hm.</p>", ""),
+    (f"<table><tr><td>Oslo</td><td>9</td></tr></table><p>{_LONG * 4}</p>", "<p><a href=/only>A linked line</a></p><p>So it went.</p>"),
+]
+LOOSE = [
+    (f"<h1>Plain page</h1><p>{_LONG * 3}</p><p>{_LONG * 2}</p>", f"<p>{_MID} {_LONG}</p>"),
+    (f"<h1>A page of old</h1><p>{_LONG * 2}</p><p>{_LONG}</p>", f"<p>{_MID}</p><p>{_LONG * 2}</p>"),
+    (f"<font size=5>Letters home</font><br>{_LONG * 2}<br><br>{_LONG}<br>{_MID}<br>So it went.<br>", f"{_LONG * 3}<br>"),
+    (f"<h2>On foot</h2><p>{_LONG}</p><p>{_MID}</p><p>{_LONG * 5}</p>", f"<h3>On a bicycle</h3><p>{_MID} {_MID}</p><p>{_LONG * 2}</p>"),
+    (f"<p>{_LONG}</p><p>{_LONG * 2}</p>", f"<p>{_LONG}</p>"),
+]
+
+
+def labelled_pages() -> list[list[tuple[int, str]]]:
+    """The labelled table: pages as pieces of markup, each with 1 if its blocks are of the article; parts meet in turn."""
+    pages = []
+    for i in range(154):
+        start, end, title = HELD[i % 7]
+        first, second = HALVES[i % 6]
+        pages.append([(0, BEFORE[i % 11]), (1, start + title + first), (0, INTO[i % 5]), (1, second + end), (0, AFTER[i * 4 % 15])])
+    for i in range(80):
+        first, second = LOOSE[i % 5]
+        pages.append([(0, BEFORE[i % 11]), (1, f"<div>{first}"), (0, INTO[i % 3]), (1, f"{second}</div>"), (0, AFTER[i * 4 % 15])])
+    return pages
 
 
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages."""
     rows, labels = [], []
-    for page in LABELLED:
+    for page in labelled_pages():
         ends = np.cumsum([len(x) for _, x in page])
         found = blocks("".join(x for _, x in page))
         rows.append(features(found))
@@ -172,8 +240,8 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     return np.vstack(rows), np.array(labels, np.int64)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | float:
-    """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or the share of ones in a leaf."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 8) -> tuple | float:
+    """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or the share of ones in a leaf of `least` rows or more."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
         return share
@@ -182,13 +250,15 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | float:
         values = np.unique(x[:, f])
         for cut in ((values[:-1] + values[1:]) / 2).tolist():
             low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) < least:
+                continue
             impurity = sum(len(p) * p.mean() * (1 - p.mean()) for p in (y[low], y[~low]))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, cut, low)
     if best is None:
         return share
     _, f, cut, low = best
-    return f, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
+    return f, cut, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
 
 
 def chance(tree: tuple | float, row: list[float]) -> float:
