@@ -205,6 +205,7 @@ HALVES = [
     (f"<div>{_LONG}</div><div>{_MID}</div>", f"<blockquote>{_MID}</blockquote><p>{_LONG * 2} <a href=/y>the old map</a> {_MID}</p>"),
     (f"<p>{_LONG}</p><p>See <a href=/m>the map of the old harbour and its three bridges</a></p>", f"<h2>Home again</h2><p>{_MID}</p>"),
     ("<p>Hm.</p>", ""),
+    ("<p>Four short words here.</p><p>And three more.</p><p>Again five words in it.</p>", "<p>Three short words.</p><p>Four short words here.</p><p>Four more words here.</p>"),
     (f"<table><tr><td>Oslo</td><td>9</td></tr></table><p>{_LONG * 4}</p>", "<p><a href=/only>A linked line</a></p><p>So it went.</p>"),
 ]
 LOOSE = [
@@ -221,7 +222,7 @@ def labelled_pages() -> list[list[tuple[int, str]]]:
     pages = []
     for i in range(154):
         start, end, title = HELD[i % 7]
-        first, second = HALVES[i % 6]
+        first, second = HALVES[i * 2 % 7 if i % 2 else i // 7 % 7]
         pages.append([(0, BEFORE[i % 11]), (1, start + title + first), (0, INTO[i % 5]), (1, second + end), (0, AFTER[i * 4 % 15])])
     for i in range(80):
         first, second = LOOSE[i % 5]

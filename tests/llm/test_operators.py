@@ -91,8 +91,9 @@ def test_tree_fits_its_table():
 
 _L = "The council met again on Tuesday to discuss what could be done about the bridge, which has been closed since the storm."
 _M, _S = "No date was given.", "Engineers said so."
-#: Pages of kinds that aren't in the labelled table, and their main text.
-HELD_OUT = [
+#: Pages of kinds that aren't in the labelled table, and their main text. Word lists and leaf size were chosen
+#: with these in view, so they guard against changes and say nothing of pages never seen; FRESH does that.
+DEVELOPMENT = [
     (f"<header class=site-header><div class=branding><p class=site-title><a href=/>Blog of Bridges</a></p></div><nav class=main-navigation><ul><li><a>Home</a></li></ul></nav></header><div class=site-content><article class='post hentry'><header class=entry-header><h1 class=entry-title>Bridge closed</h1><div class=entry-meta><span>Posted on 3 May by admin</span></div></header><div class=entry-content><p>{_L}</p><p>{_M}</p><h2>Why</h2><p>{_S}</p><ul><li>Rust</li><li>Age of the stone</li></ul></div><footer class=entry-footer><span>Filed under News</span></footer></article><div id=comments class=comments-area><h2>2 thoughts</h2><ol class=comment-list><li><article class=comment-body><p>{_L}</p></article></li></ol><form id=commentform><p>Leave a reply</p></form></div></div><aside class=widget-area><h2>Recent posts</h2><ul><li><a>x</a></li></ul><p>{_L}</p></aside><footer class=site-footer><p>Proudly powered</p></footer>", ["Bridge closed", _L, _M, "Why", _S, "Rust", "Age of the stone"]),
     (f"<div class=cookie-banner><p>We use cookies to make this site work better for you and everyone.</p><button>OK</button></div><header><a>Logo</a></header><main><h1>Title here</h1><p>{_L}</p><figure><img><figcaption>A bridge in May.</figcaption></figure><p>{_S}</p><div class=newsletter-signup><h3>Get our letter</h3><p>{_L}</p><form><input></form></div><p>{_L} {_L}</p></main><footer><p>{_L}</p></footer>", ["Title here", _L, "A bridge in May.", _S, f"{_L} {_L}"]),
     (f"<div id=top><a href=/>Home</a> | <a href=/a>About</a></div><div id=wrap><h1>Old page</h1><p>{_L} {_L}</p><p>{_L}</p><p>{_M}</p><p>{_L} {_L}</p></div><div id=bottom>Copyright 2003 someone. <a href=/m>Mail</a></div>", ["Old page", f"{_L} {_L}", _L, _M, f"{_L} {_L}"]),
@@ -103,15 +104,34 @@ HELD_OUT = [
 ]
 
 
-def test_held_out_pages():
+#: Written after the last change to the tree, its features and its table, and never used to choose any of them.
+FRESH = [
+    (f"<div id=masthead><a href=/>Courier</a></div><div id=nav><a>A</a><a>B</a></div><div id=main-column><h1 class=headline>Market day moves</h1><p class=standfirst>{_S}</p><p>{_L}</p><h3>Stalls</h3><p>{_M}</p><p>{_L} {_M}</p></div><div id=right-rail><h5>Offers</h5><p>{_L}</p></div><div class=legal>Registered office: Mill Lane.</div>", ["Market day moves", _S, _L, "Stalls", _M, f"{_L} {_M}"]),
+    (f"<body><header role=banner><p>Town library</p></header><div class=page-wrapper><article itemprop=articleBody><h2>Opening hours change</h2><p>{_M}</p><p>{_L}</p><dl><dt>Monday</dt><dd>Closed all day</dd></dl></article></div><section class=feedback><h4>What do you think?</h4><p>{_L}</p></section><footer><ul><li>Map</li><li>Help</li></ul></footer>", ["Opening hours change", _M, _L, "Monday", "Closed all day"]),
+    (f"<center><a href=i>Index</a> <a href=n>Next chapter</a></center><h2>Chapter four</h2><p>{_L} {_L}<p>{_M}<p>{_L}<p>{_S} {_M}<hr><center><a href=i>Index</a></center>", ["Chapter four", f"{_L} {_L}", _M, _L, f"{_S} {_M}"]),
+    (f"<div class=promo-strip><p>{_L}</p></div><main><article><h1>Soup</h1><p>{_S}</p><ol><li>Cut the leeks.</li><li>Boil them.</li></ol><p>{_L}</p></article><section aria-label=reviews class=reader-reviews><h2>Reviews</h2><p>{_L}</p></section></main><div class=popup-modal><p>{_M}</p></div>", ["Soup", _S, "Cut the leeks.", "Boil them.", _L]),
+    (f"<div class=wrapper><div class=top-bar>Call us</div><div class=story-content><p>{_L}</p><div class=inline-ad>{_M}</div><p>{_M}</p><pre>run this</pre><p>{_S}</p></div><div class=story-tags>news, bridge</div></div>", [_L, _M, "run this", _S]),
+]
+
+
+def agreement(pages):
+    """The share of blocks on which the tree is right, by the lines it gives."""
     tree = html_text.grow(*html_text.labelled_table())
-    right = total = 0
-    for page, want in HELD_OUT:
-        found = html_text.blocks(page)
-        got = html_text.main_text(page, tree).split("\n")
-        total += len(found)
-        right += len(found) - sum(((Counter(got) - Counter(want)) + (Counter(want) - Counter(got))).values())
-    assert right / total >= 0.95
+    wrong = total = 0
+    for page, want in pages:
+        got = Counter(x for x in html_text.main_text(page, tree).split("\n") if x)
+        total += len(html_text.blocks(page))
+        wrong += sum(((got - Counter(want)) + (Counter(want) - got)).values())
+    return 1 - wrong / total
+
+
+def test_development_pages():
+    assert agreement(DEVELOPMENT) >= 0.95
+
+
+def test_fresh_pages():
+    """What the README reports of pages never seen."""
+    assert agreement(FRESH) >= 0.7
 
 
 def test_html_of_test_pages(spark, sf_dir):
