@@ -31,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,9 +46,17 @@ BLOCK_ROWS = 512
 #: Pieces up to this many characters are remembered, and about so many of them in a worker.
 REMEMBER_CHARS, REMEMBER = 32, 800_000
 _SPACES = re.compile(r" (?:\s|$)|\s ")
+_RARE = re.compile(r"[^\S \n]")
 _encoders: dict[int, LibraryEncoder] = {}
 
 
+def single_spaced(text: str) -> bool:
+    """Whether each space stands between characters that aren't white space."""
+    if _RARE.search(text):
+        return not _SPACES.search(text)
+    return "  " not in text and " \n" not in text and "\n " not in text and text[-1:] != " "
+
+
 class LibraryEncoder:
     """The ids that the tokenizers library gives, with a memory of short space-separated pieces.
 
@@ -69,30 +78,84 @@ class LibraryEncoder:
         self.size = max(by_id) + 1
         self.starts = np.array([by_id.get(i, "").startswith("\u0120") for i in range(self.size)])
         self.pieces = splits_safely(file_text)
+        self.marks = {x: np.array(self._whole([x])[0], np.uint32).tobytes() for x in ",."} if self.pieces else {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.split(" ") if self.pieces and not _SPACES.search(x) else [x] for x in texts]
-        heads = self._whole([x[0] for x in split])
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece with a space before it, as bytes."""
+        ids = np.array(self._whole([" " + " ".join(pieces)])[0], np.uint32)
+        cuts = np.flatnonzero(self.starts[ids])
+        assert len(cuts) == len(pieces)
+        flat, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers pieces. A letter and then a comma or full stop at the end are two pre-tokens, so the word alone is looked up."""
         known = self.known
-        missing = [*{*chain.from_iterable(x[1:] for x in split)}.difference(known)]
+        marked = [x for x in pieces if x[-1:] in self.marks and x[-2:-1].isalpha()]
+        words = {*pieces}.difference(marked).union(x[:-1] for x in marked).difference(known)
+        if words:
+            words = [*words]
+            known.update(zip(words, self._spaced(words)))
+        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from memory or else from the library."""
+        if len(self.known) > REMEMBER // 2:  # pieces not asked for since the last time are forgotten
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = [x for x in pieces if x not in known]
+        if older:
+            known.update((x, older[x]) for x in missing if x in older)
+            missing = [x for x in missing if x not in known]
         if missing:
-            ids = np.array(self._whole([" " + " ".join(missing)])[0], np.uint32)
-            cuts = np.flatnonzero(self.starts[ids])
-            assert len(cuts) == len(missing)
-            flat, cuts = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            known.update(zip(missing, [flat[i:j] for i, j in zip(cuts, cuts[1:])]))
-        out = [np.frombuffer(np.array(head, np.uint32).tobytes() + b"".join(map(known.__getitem__, x[1:])), np.uint32) for head, x in zip(heads, split)]
+            self._learn(missing)
+        out = [*map(known.__getitem__, pieces)]
         for piece in missing:
             if len(piece) > REMEMBER_CHARS:
                 del known[piece]
         return out
 
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one text after the other, and how many each has.
+
+        Pieces are told apart by Arrow, so that Python sees each piece of a batch
+        once. A text is a row of entries: its first piece, which has no space before
+        it, then numbers of distinct pieces; or one entry if it is encoded whole.
+        """
+        texts = column.to_pylist()
+        plain = np.array([self.pieces and single_spaced(x) for x in texts], bool)
+        lists = pc.split_pattern(column.filter(pa.array(plain)), " ")
+        offsets = lists.offsets.to_numpy()
+        is_head = np.zeros(offsets[-1], bool)
+        is_head[offsets[:-1]] = True
+        pieces = lists.flatten()
+        heads = self._whole(pieces.filter(pa.array(is_head)).to_pylist())
+        numbered = pieces.filter(pa.array(~is_head)).dictionary_encode()
+        values = self._values(numbered.dictionary.to_pylist())
+        whole = self._whole([x for x, p in zip(texts, plain) if not p])
+        sizes = np.array([*(len(x) // 4 for x in values), *map(len, heads), *map(len, whole)], np.int64)
+        table = np.frombuffer(b"".join(values) + np.array([*chain.from_iterable(heads), *chain.from_iterable(whole)], np.uint32).tobytes(), np.uint32)
+        at = np.cumsum(sizes) - sizes
+
+        n_entries = np.ones(len(texts), np.int64)
+        n_entries[plain] = np.diff(offsets)
+        spaced = np.zeros(len(is_head), np.int64)
+        spaced[~is_head] = numbered.indices.to_numpy()
+        spaced[is_head] = len(values) + np.arange(len(heads))
+        entries = np.empty(n_entries.sum(), np.int64)
+        of_plain = np.repeat(plain, n_entries)
+        entries[of_plain] = spaced
+        entries[~of_plain] = len(values) + len(heads) + np.arange(len(whole))
+        each = sizes[entries]
+        ends = np.cumsum(each)
+        ids = table[np.repeat(at[entries] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.r_[0, ends[np.cumsum(n_entries) - 1]])
+
 
 def _encoder(file_text: str) -> LibraryEncoder:
     key = hash(file_text)
@@ -120,12 +183,12 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, file_text: str,
 
     with store.open_output_stream(f"{name}.ids.arrows") as a, store.open_output_stream(f"{name}.index.arrows") as b:
         with pa.ipc.new_stream(a, rows) as ids_out, pa.ipc.new_stream(b, index) as index_out:
-            for batch in (part for whole in batches for part in by_bytes(whole)):
-                got = encoder.encode(batch.column(1).to_pylist())
-                sizes = np.array([len(x) + 1 for x in got], np.int64)
+            for batch in (part for whole in batches for part in by_bytes(whole, 8 << 20)):
+                ids, sizes = encoder.encode(batch.column(1))
+                held.append(np.insert(ids, np.cumsum(sizes), np.uint32(end_id)))
+                sizes = sizes + 1
                 index_out.write_batch(pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n_tokens + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=index))
-                held += chain.from_iterable((x, np.array([end_id], np.uint32)) for x in got)
-                n_held, n_docs, n_tokens = n_held + int(sizes.sum()), n_docs + len(got), n_tokens + int(sizes.sum())
+                n_held, n_docs, n_tokens = n_held + int(sizes.sum()), n_docs + len(sizes), n_tokens + int(sizes.sum())
                 if n_held >= BLOCK_ROWS * length:
                     flat = np.concatenate(held)
                     full = len(flat) // length * length
