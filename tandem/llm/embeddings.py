@@ -77,39 +77,57 @@ def _compare(rows: dict[str, np.ndarray], vectors: np.ndarray, cosine: float) ->
         a, b = a[keep], b[keep]
         for i in range(0, len(a), 1 << 16):
             x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            first = ~(keys[x, : table[0]] == keys[y, : table[0]]).any(1)
-            np.add.at(links, x[first], n[y[first]])
-            np.add.at(links, y[first], n[x[first]])
-        for i in np.unique(a).tolist():
-            theirs, where = np.unique(label[b[a == i]], return_index=True)
-            others = b[a == i][where]
-            for t, j in zip(theirs.tolist(), others.tolist()):
+            new = ~(keys[x, : table[0]] == keys[y, : table[0]]).any(1)
+            np.add.at(links, x[new], n[y[new]])
+            np.add.at(links, y[new], n[x[new]])
+        ends = np.flatnonzero(np.r_[a[1:] != a[:-1], True]) + 1 if len(a) else []
+        for first, end in zip([0, *ends[:-1]], ends):
+            i, near = int(a[first]), b[first:end]
+            theirs, where = np.unique(label[near], return_index=True)
+            for t, j in zip(theirs.tolist(), near[where].tolist()):
                 if t != label[i]:
                     label[label == t] = label[i]
                     out.append((int(cls[i]), 0, int(cls[j])))
     return [*out, *((int(c), int(k), None) for c, k in zip(cls[links > 0], links[links > 0]))]
 
 
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of a binary or list column whose rows are all of one length, as rows of an array."""
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    else:
+        values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1)
+
+
 def _bucket_rows(batches: Iterator[pa.RecordBatch], cosine: float, item: int) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
+    """Compares the rows of each bucket: runs of rows with equal size, table, key and block; the last run waits for the next batch."""
     schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+    names = ("cls", "n", "table", "own", "blocks", "block")
     kind = np.float64 if item == 8 else np.float32
-
-    def done(rows: list[dict]) -> pa.RecordBatch:
-        columns = {k: np.array([r[k] for r in rows], np.int64) for k in ("cls", "n", "table", "own", "blocks", "block", "keys")}
-        vectors = np.frombuffer(b"".join(r["vector"] for r in rows), kind).reshape(len(rows), -1).astype(np.float64)
-        got = _compare(columns, vectors, cosine)
-        return pa.record_batch([pa.array([x[i] for x in got], pa.int64()) for i in range(3)], schema=schema)
+    held: pa.Table | None = None
+
+    def done(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows, out = rows.combine_chunks().to_batches()[0], []
+        columns = {c: rows.column(c).to_numpy().astype(np.int64) for c in names}
+        for i, j in zip(starts, [*starts[1:], rows.num_rows]):
+            if j - i > 1:
+                part = rows.slice(i, j - i)
+                bucket = {c: x[i:j] for c, x in columns.items()} | {"keys": _flat(part.column("keys"), np.int32)}
+                out += _compare(bucket, _flat(part.column("vector"), kind).astype(np.float64), cosine)
+        yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=schema)
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if held and (row["size"], row["table"], row["key"], row["block"]) != (held[0]["size"], held[0]["table"], held[0]["key"], held[0]["block"]):
-                if len(held) > 1:
-                    yield done(held)
-                held = []
-            held.append(row)
-    if len(held) > 1:
-        yield done(held)
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        where = np.stack([held.column(c).to_numpy() for c in ("size", "table", "key", "block")])
+        starts = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(0)])
+        if len(starts) > 1:
+            yield from done(held.slice(0, starts[-1]), starts[:-1])
+            held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield from done(held, np.array([0]))
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
