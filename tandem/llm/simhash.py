@@ -164,10 +164,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """Rows (doc_id, fingerprint, component_id), one a document."""
     marked = written(fingerprints(docs, text, (doc_id,)), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "distinct-fingerprints")
-    groups = connected_components(links(distinct)).withColumnsRenamed({"id": "fp"})
-    named = distinct.join(groups, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(smallest, "component").select("fp", "component_id")
+    groups = written(connected_components(links(distinct)).withColumnsRenamed({"id": "fp"}).join(distinct, "fp"), "linked-fingerprints")
+    # Written, so that the join below is between plain tables and Spark can split a component that is very large.
+    smallest = written(groups.groupBy("component").agg(F.min("first").alias("component_id")), "components")
+    linked = groups.join(smallest, "component").select("fp", "component_id")
+    alone = distinct.join(groups, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    of_fp = linked.union(alone)
     return marked.join(of_fp, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
