@@ -26,7 +26,7 @@ from tandem.llm.shared import WORD, text_of, written
 WEIGHTS = (5, 2, 1)
 #: A target is at most this many times the size of its source.
 EPOCHS = 3
-RANGE_ROWS = 50_000
+RANGE_ROWS = 8_192
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
