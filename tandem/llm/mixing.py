@@ -89,8 +89,11 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS
     tag = F.xxhash64(*[f"`{c}`" for c in docs.columns])
     sized = written(docs.select("doc_id", "source", words_in().alias("size"), tag.alias("__tag")), "sizes")
     amounts = _taken(sized, seed, weights, epochs, "__tag").groupBy("doc_id", "__tag").agg(F.sum("taken").alias("taken"), F.first("size").alias("size")).where("taken > 0")
-    texts = docs.withColumn("__tag", tag).dropDuplicates(["doc_id", "__tag"]).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.__tag") == F.col("a.__tag"))
+    # A plain key, so that dropping repeats and joining share one shuffle of the texts.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("__key")
+    texts = docs.select("*", tag.alias("__tag"), key).dropDuplicates(["__key", "__tag"]).alias("d")
+    amounts = amounts.withColumn("__key", key)
+    same = (F.col("d.__key") == F.col("a.__key")) & (F.col("d.__tag") == F.col("a.__tag"))
     rest = F.col("a.taken") % F.col("a.size")
     whole = F.array_repeat("a.size", F.floor(F.col("a.taken") / F.col("a.size")).cast("int"))
     times = F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>"))))
