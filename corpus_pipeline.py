@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tandem.llm import bpe, mixing, quality, simhash
 from tandem.llm.queries import tokenizer_path
-from tandem.llm.shared import written
+from tandem.llm.shared import remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; a stage's table is deleted once the next one's is written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, path = path, shared_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
     return docs

@@ -330,3 +330,17 @@ def test_pipeline(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         before = stage(spark, before, sf_dir)
         assert before.columns == docs.columns
+
+
+def test_pipeline_bears_hard_rows(spark, docs):
+    import corpus_pipeline
+
+    for start in (docs, docs.limit(0)):
+        now = start.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("taken", F.lit(2.0)).withColumn("kept", F.lit(False))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, "")
+            assert name == "bpe_encode" or out.columns == now.columns
+            path = shared_dir(spark, name)
+            out.write.parquet(path)
+            now = spark.read.schema(out.schema).parquet(path)
+        assert (now.count() > 0) == (start is docs)
