@@ -34,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Enclosing elements, and words of their class, id or role, that speak for or against the article.
 OUTSIDE = frozenset("nav aside footer form menu dialog fieldset search".split())
 INSIDE = frozenset("article main".split())
-AGAINST = frozenset("ad ads adv advert advertisement advertising advertorial alert alerts banner banners branding breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion footer gdpr imprint login logo masthead menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promotion promoted recommended related replies reply responses search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
+AGAINST = frozenset("ad ads adv advert advertisement advertising advertorial alert alerts banner banners branding breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion feedback footer gdpr imprint login logo masthead menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promotion promoted rail rating ratings recommended related replies reply responses review reviews search share sharing shares sidebar signup skip social sponsor sponsored strip subscribe subscription tags teaser thread toolbar topbar widget widgets".split())
 FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -131,7 +131,7 @@ def blocks(page: str) -> list[Block]:
         against_now, for_now, header_now = _named(m[3])
         silent |= int(name in SILENT or bool(_HIDDEN.search(m[3])))
         if name in INSIDE or for_now and not against_now and not header_now:
-            inside = 1
+            inside = max(inside, 2 if name == "article" else 1)
         header_now |= int(name == "header")
         stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), against | against_now, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt"))))
         links += name == "a"
@@ -142,16 +142,23 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row a block: words and link density of it, of the one before and the one after, and what encloses it."""
+    """A row a block: words and link density of it, of the one before and the one after, and what encloses it.
+
+    Of the last five the second says how it stands to the innermost kind of container that the page has for its
+    article: 0 outside it, 2 inside it, 1 if the page has none.
+    """
     own = np.array([[b.words, b.linked] for b in found], np.float64).reshape(-1, 2)
     edge = np.array([[0.0, 1.0]])
-    around = np.array([[b.outside | b.against, b.inside, b.headed * (1 - b.heading), b.heading, b.item] for b in found], np.float64).reshape(-1, 5)
+    deepest = max((b.inside for b in found if not b.outside | b.against), default=0)
+    standing = [1 if not deepest else 2 if b.inside >= deepest else 0 for b in found]
+    around = np.array([[b.outside | b.against, k, b.headed * (1 - b.heading), b.heading, b.item] for b, k in zip(found, standing)], np.float64).reshape(-1, 5)
     return np.hstack([own, np.vstack([edge, own[:-1]]) if len(own) else own, np.vstack([own[1:], edge]) if len(own) else own, around])
 
 
 _LONG = "It was a long walk down to the harbour, and by the time they came to the water the boats had gone out. "
 _MID = "Nobody had expected rain that day."
-#: Parts of labelled pages: what stands before an article, what stands after it, what is put into it, and what holds it.
+#: Parts of labelled pages: what stands before an article, what stands after it, what is put into it, and what holds it
+#: (with pieces that lie beside the article and have no telling name).
 BEFORE = [
     "",
     "",
@@ -190,13 +197,13 @@ INTO = [
     f"<div class='sponsored'>{_LONG}</div><nav><p>{_MID}</p></nav>",
 ]
 HELD = [
-    ("<article>", "</article>", "<h1>Rain at the harbour</h1>"),
-    ("<main>", "</main>", "<h1>A day out</h1>"),
-    ("<div id=content>", "</div>", "<h1>Short title</h1>"),
-    ("<div class='entry-content'>", "</div>", ""),
-    ("<article><header><h1>Night train</h1></header>", "</article>", ""),
-    ("<article><div class='entry-header'><h1>A storm</h1></div><div class='post-body'>", "</div></article>", ""),
-    ("<section class='story'>", "</section>", "<h2>On foot</h2>"),
+    ("", "<article><h1>Rain at the harbour</h1>", "</article>", ""),
+    ("", "<main><h1>A day out</h1>", "</main>", ""),
+    ("<div>Call us now</div>", "<div id=content><h1>Short title</h1>", "</div>", f"<div><h5>Offers</h5><p>{_LONG}</p></div>"),
+    (f"<div><p>{_LONG}</p></div>", "<div class='entry-content'>", "</div>", ""),
+    ("<main>", "<article><header><h1>Night train</h1></header>", "</article>", f"<section><h2>What others say</h2><p>{_LONG * 2}</p><p>{_MID}</p></section></main>"),
+    ("", "<article><div class='entry-header'><h1>A storm</h1></div><div class='post-body'>", "</div></article>", f"<div><p>{_LONG}</p><p>{_LONG * 3}</p></div>"),
+    ("", "<section class='story'><h2>On foot</h2>", "</section>", "<div>Filed at noon</div>"),
 ]
 #: First and second half of an article; those of LOOSE make sense without anything that holds them.
 HALVES = [
@@ -205,6 +212,8 @@ HALVES = [
     (f"<div>{_LONG}</div><div>{_MID}</div>", f"<blockquote>{_MID}</blockquote><p>{_LONG * 2} <a href=/y>the old map</a> {_MID}</p>"),
     (f"<p>{_LONG}</p><p>See <a href=/m>the map of the old harbour and its three bridges</a></p>", f"<h2>Home again</h2><p>{_MID}</p>"),
     ("<p>Hm.</p>", ""),
+    (f"<p>{_LONG * 3}</p><p>Yes.</p>", f"<p>{_LONG * 4}</p><p>So.</p><p>It ended.</p>"),
+    (f"<p>{_LONG * 6}</p><p>Be it so.</p><p>No.</p>", f"<p>{_LONG * 3}</p><p>And that was it.</p>"),
     ("<p>Four short words here.</p><p>And three more.</p><p>Again five words in it.</p>", "<p>Three short words.</p><p>Four short words here.</p><p>Four more words here.</p>"),
     (f"<table><tr><td>Oslo</td><td>9</td></tr></table><p>{_LONG * 4}</p>", "<p><a href=/only>A linked line</a></p><p>So it went.</p>"),
 ]
@@ -220,10 +229,10 @@ LOOSE = [
 def labelled_pages() -> list[list[tuple[int, str]]]:
     """The labelled table: pages as pieces of markup, each with 1 if its blocks are of the article; parts meet in turn."""
     pages = []
-    for i in range(154):
-        start, end, title = HELD[i % 7]
-        first, second = HALVES[i * 2 % 7 if i % 2 else i // 7 % 7]
-        pages.append([(0, BEFORE[i % 11]), (1, start + title + first), (0, INTO[i % 5]), (1, second + end), (0, AFTER[i * 4 % 15])])
+    for i in range(200):
+        beside, start, end, after = HELD[i % 7]
+        first, second = HALVES[(i // 7 + i) % 9]
+        pages.append([(0, BEFORE[i % 11]), (0, beside), (1, start + first), (0, INTO[i % 5]), (1, second + end), (0, after), (0, AFTER[i * 4 % 15])])
     for i in range(80):
         first, second = LOOSE[i % 5]
         pages.append([(0, BEFORE[i % 11]), (1, f"<div>{first}"), (0, INTO[i % 3]), (1, f"{second}</div>"), (0, AFTER[i * 4 % 15])])

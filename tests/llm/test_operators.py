@@ -101,11 +101,6 @@ DEVELOPMENT = [
     ("<nav><a>Home</a></nav><article><p>Hi.</p></article><nav><a>Next</a></nav>", ["Hi."]),
     (f"<article><h1>T one</h1><p>{_L}</p><div class=advertisement><p>{_L}</p></div><p>{_S}</p><div class=sponsored-box>{_L}</div><p>{_L}</p><section class=comments><p>{_L}</p></section></article>", ["T one", _L, _S, _L]),
     (f"<div class=notice>{_L}</div><div class=site-notice>{_L}</div><div id=header>{_M}</div><div class=content><p>{_L} {_L}</p><p>{_S}</p></div><div id=footer>{_M}</div>", [f"{_L} {_L}", _S]),
-]
-
-
-#: Written after the last change to the tree, its features and its table, and never used to choose any of them.
-FRESH = [
     (f"<div id=masthead><a href=/>Courier</a></div><div id=nav><a>A</a><a>B</a></div><div id=main-column><h1 class=headline>Market day moves</h1><p class=standfirst>{_S}</p><p>{_L}</p><h3>Stalls</h3><p>{_M}</p><p>{_L} {_M}</p></div><div id=right-rail><h5>Offers</h5><p>{_L}</p></div><div class=legal>Registered office: Mill Lane.</div>", ["Market day moves", _S, _L, "Stalls", _M, f"{_L} {_M}"]),
     (f"<body><header role=banner><p>Town library</p></header><div class=page-wrapper><article itemprop=articleBody><h2>Opening hours change</h2><p>{_M}</p><p>{_L}</p><dl><dt>Monday</dt><dd>Closed all day</dd></dl></article></div><section class=feedback><h4>What do you think?</h4><p>{_L}</p></section><footer><ul><li>Map</li><li>Help</li></ul></footer>", ["Opening hours change", _M, _L, "Monday", "Closed all day"]),
     (f"<center><a href=i>Index</a> <a href=n>Next chapter</a></center><h2>Chapter four</h2><p>{_L} {_L}<p>{_M}<p>{_L}<p>{_S} {_M}<hr><center><a href=i>Index</a></center>", ["Chapter four", f"{_L} {_L}", _M, _L, f"{_S} {_M}"]),
@@ -114,6 +109,16 @@ FRESH = [
 ]
 
 
+#: Written after the last change to the tree, its features, its word lists and its table, and used to choose none of them.
+FRESH = [
+    (f"<body><div class=skiplink>Skip</div><div id=brand>The Valley Echo</div><div role=main><h2>Ferry returns</h2><p class=lead>{_S}</p><p>{_L}</p><p>{_M}</p></div><div id=secondary><h3>Latest</h3><ul><li>Bread prices</li><li>School fair</li></ul></div><div class=disclosure>{_L}</div>", ["Ferry returns", _S, _L, _M]),
+    (f"<article class=blog-post><h1>My garden in June</h1><p>{_L}</p><figure><figcaption>Roses by the wall</figcaption></figure><p>{_M}</p><p>{_S}</p></article><div class=author-box><p>{_L}</p></div><div class=disqus-thread><p>{_M}</p></div>", ["My garden in June", _L, "Roses by the wall", _M, _S]),
+    (f"<table width=100%><tr><td colspan=2><b>Club pages</b></td></tr><tr><td><a href=1>News</a><br><a href=2>Players</a><br><a href=3>Fixtures</a></td><td><p>{_L} {_L}</p><p>{_L} {_M}</p><p>{_L}</p></td></tr><tr><td colspan=2>Webmaster</td></tr></table>", [f"{_L} {_L}", f"{_L} {_M}", _L]),
+    (f"<main id=maincontent><div class=alert-banner>{_M}</div><h1>How to mend a kettle</h1><p>{_L}</p><h2>You need</h2><ul><li>A file</li><li>Some solder</li></ul><h2>Steps</h2><ol><li>{_S}</li><li>{_M}</li></ol><div class=related-links><p>{_L}</p></div></main><section class=faq><h2>Questions</h2><p>{_L}</p></section>", ["How to mend a kettle", _L, "You need", "A file", "Some solder", "Steps", _S, _M]),
+    (f"<div class=ticker>{_M}</div><div class=article-wrap><div class=article-header><h1>Mill sold</h1><p>{_M}</p></div><div class=article-text><p>{_L}</p><p>{_S}</p><blockquote>{_M}</blockquote><p>{_L} {_S}</p></div></div><div class=bottom-links><a href=1>One</a> <a href=2>Two</a></div>", ["Mill sold", _L, _S, _M, f"{_L} {_S}"]),
+]
+
+
 def agreement(pages):
     """The share of blocks on which the tree is right, by the lines it gives."""
     tree = html_text.grow(*html_text.labelled_table())
