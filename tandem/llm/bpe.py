@@ -76,7 +76,7 @@ class Codec:
         self.older = regex.compile(SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[{newer}]|[^\s\p{{L}}\p{{N}}])").replace(r"?\p{L}+", rf"?[\p{{L}}--[{newer}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{newer}]]+"), regex.V1) if newer else self.split
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         try:
@@ -123,10 +123,10 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def _missing(self, token: str) -> tuple[int, ...]:
-        ids = self.known.get(token) or self.older.get(token) or tuple(self.merge(token.encode()))
+        ids = self.known.get(token) or self.before.get(token) or tuple(self.merge(token.encode()))
         if len(token) <= REMEMBER_CHARS:
             if len(self.known) >= REMEMBER // 2:  # pre-tokens not asked for since the last time are forgotten
-                self.older, self.known = self.known, {}
+                self.before, self.known = self.known, {}
             self.known[token] = ids
         return ids
 
