@@ -153,8 +153,9 @@ class LibraryEncoder:
         entries[~of_plain] = len(values) + len(heads) + np.arange(len(whole))
         each = sizes[entries]
         ends = np.cumsum(each)
-        ids = table[np.repeat(at[entries] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(np.r_[0, ends[np.cumsum(n_entries) - 1]])
+        places = np.repeat((at[entries] - (ends - each)).astype(np.int32), each)
+        places += np.arange(len(places), dtype=np.int32)
+        return table[places], np.diff(np.r_[0, ends[np.cumsum(n_entries) - 1]])
 
 
 def _encoder(file_text: str) -> LibraryEncoder:
