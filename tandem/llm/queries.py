@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import bpe, embeddings, html_text, mixing, quality, simhash, token_counts, token_files, url_filter, warc
-from tandem.llm.shared import text_of
 
 #: Rules of the URL filter.
 BLOCK_RULES, ALLOW_RULES = ("com/en/", "example.net/de/8", "org/es/"), ("example.com/en/7", "net/de/")
