@@ -29,9 +29,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.shared import by_bytes, shared_dir, text_of
+from tandem.llm.shared import batches_of, by_bytes, shared_dir, text_of
 
 MIN_PAYLOAD = 100
+#: Pages that a task takes at once.
+ROWS = 256
 STEP = 1 << 20
 _END = b"\r\n\r\n"
 
@@ -136,7 +138,8 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"path": path, "n": n}], schema=pa.schema([("path", pa.string()), ("n", pa.int64())]))
 
     slim = rows.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
-    slim.mapInArrow(run, "path string, n long").write.parquet(f"{folder}/written")
+    with batches_of(rows.sparkSession, ROWS):
+        slim.mapInArrow(run, "path string, n long").write.parquet(f"{folder}/written")
     return rows.sparkSession.read.schema("path string, n long").parquet(f"{folder}/written")
 
 
