@@ -37,14 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.shared import by_bytes, local_text, shared_dir, text_of
+from tandem.llm.shared import batches_of, by_bytes, local_text, shared_dir, text_of
 from tandem.llm.token_counts import splits_safely
 
 MANIFEST = "shard int, ids_path string, index_path string, n_docs long, n_tokens long"
 #: Rows in a written block.
 BLOCK_ROWS = 512
 #: Pieces up to this many characters are remembered, and about so many of them in a worker.
-REMEMBER_CHARS, REMEMBER = 32, 800_000
+REMEMBER_CHARS, REMEMBER = 32, 500_000
+#: Documents that a task takes at once.
+ROWS = 1024
 _SPACES = re.compile(r" (?:\s|$)|\s ")
 _RARE = re.compile(r"[^\S \n]")
 _encoders: dict[int, LibraryEncoder] = {}
@@ -184,7 +186,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, file_text: str,
 
     with store.open_output_stream(f"{name}.ids.arrows") as a, store.open_output_stream(f"{name}.index.arrows") as b:
         with pa.ipc.new_stream(a, rows) as ids_out, pa.ipc.new_stream(b, index) as index_out:
-            for batch in (part for whole in batches for part in by_bytes(whole, 8 << 20)):
+            for batch in (part for whole in batches for part in by_bytes(whole)):
                 ids, sizes = encoder.encode(batch.column(1))
                 held.append(np.insert(ids, np.cumsum(sizes), np.uint32(end_id)))
                 sizes = sizes + 1
@@ -213,7 +215,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, doc_id:
         .repartitionByRange("doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    ordered.mapInArrow(lambda batches: _write_shard(batches, f"{folder}/shards", file_text.value, end_id, length), MANIFEST).write.parquet(f"{folder}/manifest")
+    with batches_of(spark, ROWS):
+        ordered.mapInArrow(lambda batches: _write_shard(batches, f"{folder}/shards", file_text.value, end_id, length), MANIFEST).write.parquet(f"{folder}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     # One row a shard, so this one small window is over as many rows as there are files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
