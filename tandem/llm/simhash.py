@@ -28,12 +28,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.llm.components import connected_components
-from tandem.llm.shared import arrow_columns, written
+from tandem.llm.shared import arrow_columns, text_of, written
 
 MAX_DIFFERENT, SHINGLE, SEED = 4, 4, 42
 #: Bits of the ring's segments.
@@ -160,22 +160,35 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return placed.select("key", "block", "fp").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links, "a long, b long")
 
 
+def _groups(marked: DataFrame, least: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints that no other links to (fp, first), those with links (fp, component, first), and the components (component, least).
+
+    `first` is the smallest value of `least` among a fingerprint's rows of `marked`, `least` that among a component's.
+    """
+    distinct = written(marked.groupBy("fp").agg(F.min(least).alias("first")), "distinct-fingerprints")
+    groups = written(connected_components(links(distinct)).withColumnsRenamed({"id": "fp"}).join(distinct, "fp"), "linked-fingerprints")
+    # Written, so that joins with it are between plain tables and Spark can split a component that is very large.
+    smallest = written(groups.groupBy("component").agg(F.min("first").alias("least")), "components")
+    return distinct.join(groups, "fp", "left_anti"), groups, smallest
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one a document."""
     marked = written(fingerprints(docs, text, (doc_id,)), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "distinct-fingerprints")
-    groups = written(connected_components(links(distinct)).withColumnsRenamed({"id": "fp"}).join(distinct, "fp"), "linked-fingerprints")
-    # Written, so that the join below is between plain tables and Spark can split a component that is very large.
-    smallest = written(groups.groupBy("component").agg(F.min("first").alias("component_id")), "components")
-    linked = groups.join(smallest, "component").select("fp", "component_id")
-    alone = distinct.join(groups, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    of_fp = linked.union(alone)
+    alone, groups, smallest = _groups(marked, F.col(doc_id))
+    linked = groups.join(smallest, "component").select("fp", F.col("least").alias("component_id"))
+    of_fp = linked.union(alone.select("fp", F.col("first").alias("component_id")))
     return marked.join(of_fp, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group, that with the smallest id, in the columns of `docs`; of rows with that same id any one."""
-    groups = near_duplicates(docs, text, doc_id)
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("none"))
-    first = groups.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    """One document of each group, in the columns of `docs`: that with the smallest id, null ids last.
+
+    Of a group's texts with that same id it is the one with the smallest fingerprint, then digest; of rows equal in both id and text any one.
+    """
+    the_id, digest = F.col(f"`{doc_id}`"), F.md5(text_of(F.col(f"`{text}`")).cast("binary"))
+    key = F.when(the_id.isNull(), digest).otherwise(F.concat(digest, the_id.cast("string")))  # a digest has always the same length
+    marked = fingerprints(docs.select(the_id.alias("id"), F.col(f"`{text}`").alias("text"), key.alias("key")), "text", ("id", "key"))
+    alone, _, smallest = _groups(marked, F.struct(F.col("id").isNull(), "id", "fp", "key"))
+    first = alone.select(F.col("first.key").alias("__key")).union(smallest.select("least.key"))
     return docs.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*[f"`{c}`" for c in docs.columns])

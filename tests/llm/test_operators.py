@@ -271,6 +271,17 @@ def test_simhash(spark, docs, sf_dir):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Null ids and an id with several texts: groups are told by text, not by id."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(200)) for k in "abcd")
+    near = a + " a0"
+    assert (simhash.fingerprint(a) ^ simhash.fingerprint(near)).bit_count() <= 4
+    rows = [(3, a), (7, near), (7, b), (None, c), (None, d), (None, c), (None, b), (8, d + " "), (9, ""), (None, None), (4, "x y"), (4, "x z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    stay = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(table).collect()]
+    assert sorted(stay, key=repr) == sorted([(3, a), (7, b), (None, c), (8, d + " "), (9, ""), (4, "x y"), (4, "x z")], key=repr)
+
+
 def test_simhash_blocks(spark):
     rng = np.random.default_rng(5)
     fps = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for c in rng.integers(0, 2**63, 6) for k in rng.integers(0, 7, 60)}
