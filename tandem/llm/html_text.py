@@ -39,6 +39,8 @@ FOR = frozenset("article articlebody body content entry main maincontent post st
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", re.I)
+#: The end tags of elements whose content holds no other markup.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
 _PIECES = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -94,16 +96,11 @@ def blocks(page: str) -> list[Block]:
                 began = at
             pieces.append((text, links > 0))
 
-    position, silent_until = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < position:
-            continue
+    position = 0
+    while m := _TOKEN.search(page, position):
         name = (m[2] or "").lower()
-        if silent_until and not (m[1] and name == silent_until):
-            continue
-        if not silent_until:
-            say(page[position : m.start()], position)
-        position, silent_until = m.end(), None
+        say(page[position : m.start()], position)
+        position = m.end()
         if not name:
             continue
         if name in BREAKING:
@@ -126,8 +123,9 @@ def blocks(page: str) -> list[Block]:
                 if stack.pop()[0] == "a":
                     links = max(0, links - 1)
         _, silent, outside, against, inside, headed, heading, item = stack[-1]
-        if name in ("script", "style"):
-            silent_until = name
+        if name in _RAW_END:  # read on at its end tag, if any: what stands before is no markup
+            end = _RAW_END[name].search(page, position)
+            position = end.start() if end else len(page)
         against_now, for_now, header_now = _named(m[3])
         silent |= int(name in SILENT or bool(_HIDDEN.search(m[3])))
         if name in INSIDE or for_now and not against_now and not header_now:
@@ -135,8 +133,7 @@ def blocks(page: str) -> list[Block]:
         header_now |= int(name == "header")
         stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), against | against_now, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt"))))
         links += name == "a"
-    if not silent_until:
-        say(page[position:], position)
+    say(page[position:], position)
     flush(len(page))
     return out
 

@@ -83,6 +83,14 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("script", ["for(var i=0;i<n;i++){f(i);}", "if(a<b)s='it';", "var s = \"it's\"; if (i<n) t = '", "<!-- if(i<n){", "var t='<p>no</p></scripts>';", ""])
+@pytest.mark.parametrize("name, end", [("script", "</script>"), ("STYLE", "</Style\n>")])
+def test_scripts_end_at_their_end_tag(script, name, end):
+    page = f"<body><{name}>{script}{end}<article><h1>On</h1><p>First part.</p><p>It's <b>there</b>.</p></article><script>x<y{end}"
+    assert [b.text for b in html_text.blocks(page)][:3] == ["On", "First part.", "It's there."]
+    assert len(html_text.blocks(page)) == 3
+
+
 def test_tree_fits_its_table():
     x, y = html_text.labelled_table()
     tree = html_text.grow(x, y)
