@@ -37,8 +37,10 @@ INSIDE = frozenset("article main".split())
 AGAINST = frozenset("ad ads adv advert advertisement advertising advertorial alert alerts banner banners branding breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion feedback footer gdpr imprint login logo masthead menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promotion promoted rail rating ratings recommended related replies reply responses review reviews search share sharing shares sidebar signup skip social sponsor sponsored strip subscribe subscription tags teaser thread toolbar topbar widget widgets".split())
 FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none", re.I)
+#: Pieces of a name by which it tells of something elsewhere or of a state: no-sidebar, has-comments, menu-open.
+STATES = frozenset("closed disabled enabled has no open with without".split())
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 #: The end tags of elements whose content holds no other markup.
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
 _PIECES = re.compile(r"[a-z]+")
@@ -59,22 +61,40 @@ class Block:
     item: int
 
 
-def _named(attributes: str) -> tuple[int, int, int]:
+def _attributes(markup: str) -> dict[str, str]:
+    """The attributes of a start tag by name, of equal names the first; one without a value has the empty text."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(markup):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _named(attributes: dict[str, str]) -> tuple[int, int, int]:
     """Whether class, id or role speak against the article, for it, and of a header."""
-    found = [m[1] or m[2] or m[3] or "" for m in _NAMED.finditer(attributes)] if "=" in attributes else []
-    if not found:
+    names = " ".join(attributes[k] for k in ("class", "id", "role") if k in attributes).lower().split()
+    if not names:
         return 0, 0, 0
-    names = " ".join(found).lower()
-    words = {*_PIECES.findall(names), *names.split()}
-    return int(not words.isdisjoint(AGAINST)), int(not words.isdisjoint(FOR)), int("header" in words)
+    pieces = {x: {x, *_PIECES.findall(x)} for x in names}
+    words = set().union(*pieces.values())
+    against = any(not x.isdisjoint(AGAINST) and x.isdisjoint(STATES) for x in pieces.values())
+    return int(against), int(not words.isdisjoint(FOR)), int("header" in words)
 
 
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in order."""
+    """The flat text blocks of a page, in order.
+
+    Names don't speak against the page's own article: those of `html`, `body`, a `main` and all that holds one are void,
+    and so are those of an outermost `article` with more than half of the page's words and of all that holds it.
+    """
     out: list[Block] = []
+    # Open marks against the article, and open outermost articles, are tuples of places in the page.
+    void: set[int] = set()
+    marks: list[tuple[int, ...]] = []
+    articles: dict[int, tuple[int, ...]] = {}
+    words_of: dict[int, int] = {}
     pieces: list[tuple[str, bool]] = []
-    # Open elements: name, silent, outside, against, inside, header, heading, item; each holds what it adds to those around it.
-    stack: list[tuple] = [("", 0, 0, 0, 0, 0, 0, 0)]
+    # Open elements: name, silent, outside, marks against, inside, header, heading, item, article; each holds what it adds to those around it.
+    stack: list[tuple] = [("", 0, 0, (), 0, 0, 0, 0, -1)]
     links, began = 0, 0
 
     def flush(at: int) -> None:
@@ -84,8 +104,10 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(x.split()) for x, link in pieces if link)
                 n = len(text.split())
-                _, _, outside, against, inside, headed, heading, item = stack[-1]
-                out.append(Block(text, began, n, min(1.0, linked / n), outside, against, inside, headed, heading, item))
+                _, _, outside, against, inside, headed, heading, item, article = stack[-1]
+                out.append(Block(text, began, n, min(1.0, linked / n), outside, 0, inside, headed, heading, item))
+                marks.append(against)
+                words_of[article] = words_of.get(article, 0) + n
             pieces.clear()
         began = at
 
@@ -122,19 +144,32 @@ def blocks(page: str) -> list[Block]:
             while any(x[0] == "p" for x in stack) and stack[-1][0] not in BREAKING - {"p"} and len(stack) > 1:
                 if stack.pop()[0] == "a":
                     links = max(0, links - 1)
-        _, silent, outside, against, inside, headed, heading, item = stack[-1]
+        _, silent, outside, against, inside, headed, heading, item, article = stack[-1]
         if name in _RAW_END:  # read on at its end tag, if any: what stands before is no markup
             end = _RAW_END[name].search(page, position)
             position = end.start() if end else len(page)
-        against_now, for_now, header_now = _named(m[3])
-        silent |= int(name in SILENT or bool(_HIDDEN.search(m[3])))
+        attributes = _attributes(m[3]) if m[3] else {}
+        against_now, for_now, header_now = _named(attributes)
+        silent |= int(name in SILENT or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", ""))))
+        if against_now and name not in ("html", "body"):
+            against += (m.start(),)
+        if name == "main" or attributes.get("role", "").lower() == "main":
+            void.update(against)
+        elif name == "article" and article < 0:
+            article = m.start()
+            articles[article] = against
         if name in INSIDE or for_now and not against_now and not header_now:
             inside = max(inside, 2 if name == "article" else 1)
         header_now |= int(name == "header")
-        stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), against | against_now, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt"))))
+        stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), against, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt")), article))
         links += name == "a"
     say(page[position:], position)
     flush(len(page))
+    for article, against in articles.items():
+        if 2 * words_of.get(article, 0) > sum(words_of.values()):
+            void.update(against)
+    for block, against in zip(out, marks):
+        block.against = int(not void.issuperset(against))
     return out
 
 

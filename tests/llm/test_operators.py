@@ -127,6 +127,35 @@ FRESH = [
 ]
 
 
+_A = f"<h1>Mill sold</h1><p>{_L}</p><p>{_M}</p><p>{_L} {_S}</p>"
+_C = f"<nav><a href=/>Home</a></nav>%s<div class=comments><article class=comment><p>{_L}</p></article></div><div class=sidebar><p>{_S}</p></div>"
+#: Wrappers of the page's own article whose names speak against articles, or attributes that speak of something hidden.
+WRAPPED = [
+    f"<body class='has-sidebar single'>{_C % f'<article>{_A}</article>'}</body>",
+    f"<html class='no-sidebar'><body class='menu comments-open'>{_C % f'<article>{_A}</article>'}</body></html>",
+    _C % f"<article class='review'>{_A}</article>",
+    _C % f"<main><article class='hreview share'>{_A}</article></main>",
+    _C % f"<div id=content class='with-sidebar'>{_A}</div>",
+    _C % f"<div class='share-wrap'><div class=rail><main id=main class='promo'>{_A}</main></div></div>",
+    _C % f"<div class='related-layout'><div role=main>{_A}</div></div>",
+    _C % f"<div class='banner-page'><article>{_A}</article></div>",
+    _C % f"<article data-title='The hidden valley' title='display: none'>{_A}</article>",
+    _C % f"<article class='prose hidden md:block' data-x=\"a class=ad b\">{_A}</article>",
+    _C % f"<article>{_A}<p hidden>{_L}</p><div style='color: red; DISPLAY : none'>{_L}</div><p hidden=hidden>{_L}</p><div class=ad>{_M}</div></article>",
+]
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_names_around_the_article(page):
+    tree = html_text.grow(*html_text.labelled_table())
+    assert html_text.main_text(page, tree) == f"Mill sold\n{_L}\n{_M}\n{_L} {_S}"
+
+
+def test_marks_beside_the_article_stay():
+    page = f"<div class=reviews><article><p>{_L}</p></article><article><p>{_L}</p></article></div><div class=comments><p>{_L}</p></div><div class='share open'><p>{_M}</p></div>"
+    assert [b.against for b in html_text.blocks(page)] == [1, 1, 1, 1]
+
+
 def agreement(pages):
     """The share of blocks on which the tree is right, by the lines it gives."""
     tree = html_text.grow(*html_text.labelled_table())
