@@ -2,21 +2,25 @@
 
 A page becomes a flat list of text blocks: tags that separate blocks end one, all
 other markup only changes the block it is in. Each block has its number of words
-and the share of them inside links, those of the block before and after, and what
-encloses it. A decision tree, grown on the labelled blocks below, tells the blocks
-of the article from menus, notices, forms, comments and the like.
-
-Results: a null, empty or textless page gives the empty text; broken markup is
-read as far as it goes: an unclosed comment, script or tag ends with the page and
-closing tags without an opening one are skipped; repeated rows give repeated
+and the share of them inside links, and those of the block before and after. A
+decision tree, grown on the labelled blocks below, tells the blocks of the article
+from menus, notices, forms, comments and the like. Its first `LEADING` questions
+are about words and links of a block and its neighbours; only below them it may
+ask what encloses the block.
+
+Results: a null, empty or textless page gives the empty text, and an empty table
+no rows; broken markup is read as far as it goes: an unclosed comment, script or
+tag ends with the page, closing tags without an opening one are skipped, and a
+quote opens a value only after an equals sign; repeated rows give repeated
 results; other columns than those kept are left out. A very long page needs memory
-in proportion to its length.
+and time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -36,7 +40,7 @@ OUTSIDE = frozenset("nav aside footer form menu dialog fieldset search".split())
 INSIDE = frozenset("article main".split())
 AGAINST = frozenset("ad ads adv advert advertisement advertising advertorial alert alerts banner banners branding breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion feedback footer gdpr imprint login logo masthead menu modal nav navbar navigation newsletter notice notices overlay paywall popup promo promotion promoted rail rating ratings recommended related replies reply responses review reviews search share sharing shares sidebar signup skip social sponsor sponsored strip subscribe subscription tags teaser thread toolbar topbar widget widgets".split())
 FOR = frozenset("article articlebody body content entry main maincontent post story text".split())
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*+|(?=>)|\Z))*+)(?:>|\Z)", re.S)
 #: Pieces of a name by which it tells of something elsewhere or of a state: no-sidebar, has-comments, menu-open.
 STATES = frozenset("closed disabled enabled has no open with without".split())
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
@@ -45,6 +49,8 @@ _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
 _PIECES = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: The first features of a block: words and links of it and its neighbours. So many questions of the tree are about them alone.
+TEXTUAL, LEADING = 6, 3
 
 
 @dataclass(slots=True)
@@ -80,6 +86,31 @@ def _named(attributes: dict[str, str]) -> tuple[int, int, int]:
     return int(against), int(not words.isdisjoint(FOR)), int("header" in words)
 
 
+class Marks:
+    """Marks against the article, each with the mark around it; a mark made void takes all around it along."""
+
+    def __init__(self):
+        self.around: list[int] = []
+        self.void: list[bool] = []
+
+    def add(self, around: int) -> int:
+        self.around.append(around)
+        self.void.append(False)
+        return len(self.around) - 1
+
+    def forgive(self, mark: int) -> None:
+        while mark >= 0 and not self.void[mark]:  # what stands around a void mark is void already
+            self.void[mark] = True
+            mark = self.around[mark]
+
+    def standing(self) -> list[int]:
+        """Of each mark, and at the end of none, whether it or one around it stands."""
+        out: list[int] = []
+        for around, void in zip(self.around, self.void):
+            out.append(int(not void or around >= 0 and out[around]))
+        return [*out, 0]
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order.
 
@@ -87,14 +118,11 @@ def blocks(page: str) -> list[Block]:
     and so are those of an outermost `article` with more than half of the page's words and of all that holds it.
     """
     out: list[Block] = []
-    # Open marks against the article, and open outermost articles, are tuples of places in the page.
-    void: set[int] = set()
-    marks: list[tuple[int, ...]] = []
-    articles: dict[int, tuple[int, ...]] = {}
-    words_of: dict[int, int] = {}
+    marks, mark_of, articles, words_of = Marks(), [], {}, {}
     pieces: list[tuple[str, bool]] = []
-    # Open elements: name, silent, outside, marks against, inside, header, heading, item, article; each holds what it adds to those around it.
-    stack: list[tuple] = [("", 0, 0, (), 0, 0, 0, 0, -1)]
+    # Open elements: name, silent, outside, mark, inside, header, heading, item, article; each holds what it adds to those around it.
+    stack: list[tuple] = [("", 0, 0, -1, 0, 0, 0, 0, -1)]
+    opened: Counter[str] = Counter()
     links, began = 0, 0
 
     def flush(at: int) -> None:
@@ -104,9 +132,9 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(x.split()) for x, link in pieces if link)
                 n = len(text.split())
-                _, _, outside, against, inside, headed, heading, item, article = stack[-1]
+                _, _, outside, mark, inside, headed, heading, item, article = stack[-1]
                 out.append(Block(text, began, n, min(1.0, linked / n), outside, 0, inside, headed, heading, item))
-                marks.append(against)
+                mark_of.append(mark)
                 words_of[article] = words_of.get(article, 0) + n
             pieces.clear()
         began = at
@@ -118,6 +146,14 @@ def blocks(page: str) -> list[Block]:
                 began = at
             pieces.append((text, links > 0))
 
+    def close() -> str:
+        nonlocal links
+        name = stack.pop()[0]
+        opened[name] -= 1
+        if name == "a":
+            links = max(0, links - 1)
+        return name
+
     position = 0
     while m := _TOKEN.search(page, position):
         name = (m[2] or "").lower()
@@ -128,23 +164,17 @@ def blocks(page: str) -> list[Block]:
         if name in BREAKING:
             flush(m.end())
         if m[1]:
-            if any(x[0] == name for x in stack):
-                while True:
-                    gone = stack.pop()[0]
-                    if gone == "a":
-                        links = max(0, links - 1)
-                    if gone == name:
-                        break
+            while opened[name] and close() != name:
+                pass
             continue
         if name in VOID or m[3].endswith("/") and name not in BREAKING | SILENT:
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
-            stack.pop()
+            close()
         if name == "p":  # a block inside an unclosed paragraph ends it and the marks opened in it
-            while any(x[0] == "p" for x in stack) and stack[-1][0] not in BREAKING - {"p"} and len(stack) > 1:
-                if stack.pop()[0] == "a":
-                    links = max(0, links - 1)
-        _, silent, outside, against, inside, headed, heading, item, article = stack[-1]
+            while opened["p"] and stack[-1][0] not in BREAKING - {"p"}:
+                close()
+        _, silent, outside, mark, inside, headed, heading, item, article = stack[-1]
         if name in _RAW_END:  # read on at its end tag, if any: what stands before is no markup
             end = _RAW_END[name].search(page, position)
             position = end.start() if end else len(page)
@@ -152,24 +182,26 @@ def blocks(page: str) -> list[Block]:
         against_now, for_now, header_now = _named(attributes)
         silent |= int(name in SILENT or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", ""))))
         if against_now and name not in ("html", "body"):
-            against += (m.start(),)
+            mark = marks.add(mark)
         if name == "main" or attributes.get("role", "").lower() == "main":
-            void.update(against)
+            marks.forgive(mark)
         elif name == "article" and article < 0:
             article = m.start()
-            articles[article] = against
+            articles[article] = mark
         if name in INSIDE or for_now and not against_now and not header_now:
             inside = max(inside, 2 if name == "article" else 1)
         header_now |= int(name == "header")
-        stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), against, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt")), article))
+        stack.append((name, silent, outside | int(name in OUTSIDE or header_now and not inside), mark, inside, headed | header_now, heading | int(len(name) == 2 and name[0] == "h" and name[1].isdigit()), item | int(name in ("li", "td", "th", "dd", "dt")), article))
+        opened[name] += 1
         links += name == "a"
     say(page[position:], position)
     flush(len(page))
-    for article, against in articles.items():
+    for article, mark in articles.items():
         if 2 * words_of.get(article, 0) > sum(words_of.values()):
-            void.update(against)
-    for block, against in zip(out, marks):
-        block.against = int(not void.issuperset(against))
+            marks.forgive(mark)
+    standing = marks.standing()
+    for block, mark in zip(out, mark_of):
+        block.against = standing[mark]
     return out
 
 
@@ -258,6 +290,33 @@ LOOSE = [
 ]
 
 
+def _of(n: int) -> str:
+    """A passage of `n` words."""
+    return " ".join((_LONG * (n // 20 + 1)).split()[:n]) + "."
+
+
+def _links(*words: int) -> str:
+    return " ".join(f"<a href=/{i}>{_of(n)}</a>" for i, n in enumerate(words))
+
+
+def plain_pages(n: int) -> list[list[tuple[int, str]]]:
+    """Labelled pages of kinds whose names tell nothing, or the wrong thing; `n` sets how long their passages are."""
+    items = lambda k, size: "".join(f"<li><a href=/{i}>{_of(size)}</a></li>" for i in range(k))
+    teasers = "".join(f"<div class=c{i}><h3><a href=/{i}>{_of(6)}</a></h3><p>{_of(9)} <a href=/{i}>Read on</a></p></div>" for i in range(3))
+    body = f"<p>{_of(n)}</p><p>{_of(2 * n)}</p><p>{_of(n // 2)}</p>"
+    legal = f"<p>{_links(1, 2, 1, 2)}</p><p>{_of(7)}</p>"
+    return [
+        [(0, f"<div class=c1><ul>{items(9, 2)}</ul></div>"), (1, f"<div class=c2><h1>{_of(3)}</h1>{body}<pre>{_of(8)}</pre><p>{_of(n)}</p></div>"), (0, f"<div class=c3>{_links(2, 3)}</div>")],
+        [(0, f"<div>{_links(1, 1, 1)}</div>"), (1, f"<h1>{_of(2)}</h1><p>{_of(n)} {_links(2, 2)} {_of(n)}</p><p>{_of(n)} {_links(3)} {_of(4)}</p><ul><li>{_of(5)} {_links(2)}</li><li>{_of(7)}</li></ul><p>{_of(n)}</p>"), (0, f"<div>{_links(2, 1, 2, 1)}</div><div>{_of(8)}</div>")],
+        [(0, f"<table><tr><td>{_links(1)}</td><td>{_links(1)}</td><td>{_links(2)}</td></tr></table>"), (1, f"<div><h2>{_of(6)}</h2>{body}{body}</div>"), (0, f"<div>{teasers}</div>{legal}")],
+        [(0, teasers), (1, f"<div class=c9><h1>{_of(5)}</h1>{body}<h2>{_of(2)}</h2>{body}</div>"), (0, f"<ul>{items(6, 5)}</ul>{legal}")],
+        [(0, f"<span>{_of(2)}</span><ul>{items(5, 1)}</ul>"), (1, f"<div class='post review'><h1>{_of(4)}</h1>{body}</div>"), (0, f"<ul>{items(7, 6)}</ul>")],
+        [(0, f"<ul>{items(7, 1)}</ul>"), (1, f"<div class='share-story'>{body}<p>{_of(n)}</p></div>"), (0, legal)],
+        [(0, f"<p>{_links(1)} &gt; {_links(1)}</p>"), (1, f"<div class=c4><h1>{_of(7)}</h1>{body}</div>"), (0, f"<div class=comments><h3>{_of(2)}</h3><div class=c5><p>{_of(n)}</p></div><div class=c5><p>{_of(2 * n)}</p></div></div>{legal}")],
+        [(0, f"<div>{_links(2)}</div>"), (1, f"{body}<p>{_of(3)}</p>{body}"), (0, f"<hr>{_links(1, 1)}<p>{_of(5)}</p>")],
+    ]
+
+
 def labelled_pages() -> list[list[tuple[int, str]]]:
     """The labelled table: pages as pieces of markup, each with 1 if its blocks are of the article; parts meet in turn."""
     pages = []
@@ -268,6 +327,8 @@ def labelled_pages() -> list[list[tuple[int, str]]]:
     for i in range(80):
         first, second = LOOSE[i % 5]
         pages.append([(0, BEFORE[i % 11]), (1, f"<div>{first}"), (0, INTO[i % 3]), (1, f"{second}</div>"), (0, AFTER[i * 4 % 15])])
+    for n in range(12, 84, 6):
+        pages += plain_pages(n)
     return pages
 
 
@@ -282,13 +343,16 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     return np.vstack(rows), np.array(labels, np.int64)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 8) -> tuple | float:
-    """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or the share of ones in a leaf of `least` rows or more."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 8, leading: int = LEADING) -> tuple | float:
+    """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it), or the share of ones in a leaf of `least` rows or more.
+
+    The first `leading` questions on each path are about the words and links of the block and its neighbours.
+    """
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
         return share
     best = None
-    for f in range(x.shape[1]):
+    for f in range(TEXTUAL if leading > 0 else x.shape[1]):
         values = np.unique(x[:, f])
         for cut in ((values[:-1] + values[1:]) / 2).tolist():
             low = x[:, f] <= cut
@@ -298,9 +362,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 8) -> tuple
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, cut, low)
     if best is None:
-        return share
+        return grow(x, y, depth, least, 0) if leading > 0 else share
     _, f, cut, low = best
-    return f, cut, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    return f, cut, grow(x[low], y[low], depth - 1, least, leading - 1), grow(x[~low], y[~low], depth - 1, least, leading - 1)
 
 
 def chance(tree: tuple | float, row: list[float]) -> float:

@@ -176,6 +176,40 @@ def test_fresh_pages():
     assert agreement(FRESH) >= 0.7
 
 
+def test_held_out_pages():
+    """What the README reports of layouts that chose nothing."""
+    from held_out_pages import PAGES
+
+    assert len(PAGES) == 30 and agreement(PAGES) >= 0.95
+
+
+def test_first_questions_are_about_text():
+    """The tree asks about words and links of a block and its neighbours before it asks what encloses the block."""
+
+    def asked(tree, depth=0):
+        return [(depth, tree[0]), *asked(tree[2], depth + 1), *asked(tree[3], depth + 1)] if isinstance(tree, tuple) else []
+
+    found = asked(html_text.grow(*html_text.labelled_table()))
+    assert all(f < html_text.TEXTUAL for depth, f in found if depth < html_text.LEADING)
+    x, y = html_text.labelled_table()
+    right = lambda x, leading: np.mean([(html_text.chance(tree, row) >= 0.5) == bool(k) for tree in [html_text.grow(x, y, leading=leading)] for row, k in zip(x.tolist(), y)])
+    assert right(x[:, : html_text.TEXTUAL], 0) > right(np.hstack([0 * x[:, : html_text.TEXTUAL], x[:, html_text.TEXTUAL :]]), 0)
+
+
+@pytest.mark.parametrize("page, want", [("<article><p class=it's>Some words.</p><p>More.</p></article>", ["Some words.", "More."]), ("<p title=\"a\" b\">Kept.</p><p>Too.</p>", ["Kept.", "Too."]), ("<p a=b\"c>d</p>", ["d"]), ("<p x = 'a>b'>c</p>", ["c"]), ("<p =>c</p><p x=>d</p>", ["c", "d"]), ("<p don't>e</p>", ["e"]), ("<p x='open>f", [])])
+def test_quotes_open_values_only_after_an_equals_sign(page, want):
+    assert [b.text for b in html_text.blocks(page)] == want
+
+
+@pytest.mark.parametrize("piece", ["<b>x</i>", "<div class=ad>", "</p><p>", "<a =", '<p "', '<p a="', "<article class=ad><p>w", "<!-", "<script>"])
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    began = time.process_time()
+    html_text.blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
 def test_html_of_test_pages(spark, sf_dir):
     import html
     import re
