@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tandem.llm.shared import remove, shared_dir
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Rows (id, component) for each id in `edges`; component is the smallest id reachable.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", kind: str = "long") -> DataFrame:
+    """Rows (id, component) for each id in `edges`, of the type `kind`; component is the smallest id reachable.
 
     Large stars join each neighbour above a node to the smallest id around the
     node, small stars do so with the neighbours below; in turn they lead to one
@@ -22,14 +22,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Null ids and loops are ignored; repeated edges count once; no edges give no rows.
     """
     spark = edges.sparkSession
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    x, y = F.col(a).cast(kind), F.col(b).cast(kind)
     now = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(
         F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")
     )
     path, state = shared_dir(spark, "edges"), None
     now.distinct().write.parquet(path)
     while True:
-        now = spark.read.schema("hi long, lo long").parquet(path)
+        now = spark.read.schema(f"hi {kind}, lo {kind}").parquet(path)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if state == tuple(seen) or not seen[0]:
             break

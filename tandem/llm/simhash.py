@@ -14,16 +14,29 @@ yet are kept: fewer rows than fingerprints, however dense a group is. A key with
 more than `BLOCK` fingerprints is dealt out in blocks, each pair of which is
 compared in a place of its own.
 
+`drop_near_duplicates` removes near copies by what two texts share: five-word
+shingles with a Jaccard similarity of 0.8 or more. Such texts differ in up to
+about twenty bits, too many for segments to serve as keys. So texts meet where the
+least of their shingles by one of eight orders is the same, which two such texts
+miss with a chance of 0.2 to the eighth; the pigeonring, here with budgets for 24
+bits over the fingerprint of the distinct shingles, prunes those that meet before
+the full check of 64 bits; and what is left is compared by its whole sets of
+shingles, each text brought once to its group of candidates.
+
 Results: a null or empty text has the fingerprint zero, which links like any
-other; a text of fewer than four words hashes whole; repeated rows and equal
-texts link; a null id never names a component unless no other is in it; an empty
-table gives no rows; extra columns are left out of `near_duplicates`. A very long
-text needs memory in proportion to its own length.
+other in `near_duplicates`, and is similar only to other texts without a word; a
+text of fewer words than a shingle hashes whole; repeated rows and equal texts
+link; a null id never names a component unless no other is in it; an empty table
+gives no rows; extra columns are left out of `near_duplicates` and stay in
+`drop_near_duplicates`. A very long text needs memory in proportion to its own
+length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +53,42 @@ MAX_DIFFERENT, SHINGLE, SEED = 4, 4, 42
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints of one key that a single place compares.
 BLOCK = 4096
+#: Of `drop_near_duplicates`: words of a shingle, similarity, orders by which least shingles are taken, bits that two similar texts may differ in.
+NEAR_SHINGLE, SIMILARITY, ORDERS, NEAR_BITS = 5, 0.8, 8, 24
+#: Bytes of texts that a single place compares, but for one text that has more.
+BLOCK_BYTES = 32 << 20
 _U = np.uint64
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, ORDERS, 1), _U)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The majority bits of the hashes of a text's shingles, repeats included."""
-    words = text.encode().lower().split()  # of bytes: only A-Z changes, only ASCII white space splits
+def words_of(text: str) -> list[bytes]:
+    return text.encode().lower().split()  # of bytes: only A-Z changes, only ASCII white space splits
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The hashes of the shingles, repeats included; fewer words are one shingle, none have none."""
     if not words:
-        return 0
+        return np.zeros(0, _U)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     first = min(shingle, len(words)) - 1
     starts = [0, *(ends[: len(ends) - first - 1] + 1).tolist()]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[first:].tolist())), _U, len(starts))
+    return np.fromiter((xxhash.xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[first:].tolist())), _U, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(_U)[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The majority bits of the hashes of a text's shingles, repeats included."""
+    return majority(shingle_hashes(words_of(text), shingle))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """The columns `keep` of `docs` and `fp`, the fingerprint as a signed number of the same bits."""
 
@@ -98,16 +128,30 @@ def _linked(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return at[np.bitwise_count(different[at]) <= MAX_DIFFERENT]
 
 
-def _joins(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the fingerprints of each group as all its links would; groups are runs."""
-    label, out, active, lag = np.arange(len(fp)), [], np.arange(len(fp)), 1
+def _on_the_ring(different: np.ndarray, budget: int) -> np.ndarray:
+    """Places where chains from some segment keep to their shares of `budget` differing bits, and so do all 64 bits."""
+    of_segment = [np.bitwise_count(_turned(different, sum(WIDTHS[:s])) & _U((1 << w) - 1)).astype(np.int64) for s, w in enumerate(WIDTHS)]
+    within = np.zeros(len(different), bool)
+    for start in range(5):
+        chain, keeps = 0, np.ones(len(different), bool)
+        for segments in range(1, 5):
+            chain = chain + of_segment[(start + segments - 1) % 5]
+            keeps &= 5 * chain <= segments * budget
+        within |= keeps
+    at = np.flatnonzero(within)
+    return at[np.bitwise_count(different[at]) <= budget]
+
+
+def _joins(group: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the rows of each group as all its links would; groups are runs. `linked` gives the places of two lists of rows that link."""
+    label, out, active, lag = np.arange(len(group)), [], np.arange(len(group)), 1
     while True:
-        active = active[active + lag < len(fp)]
+        active = active[active + lag < len(group)]
         active = active[group[active] == group[active + lag]]
         if not len(active):
             return out
         apart = active[label[active] != label[active + lag]]
-        found = apart[_linked(fp[apart], fp[apart + lag], start[apart])]
+        found = apart[linked(apart, apart + lag)]
         for i in found.tolist():
             a, b = i, i + lag
             while label[a] != a:
@@ -123,25 +167,49 @@ def _joins(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> list[tuple[i
         lag += 1
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, least: int, done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hands `done` whole runs of rows that are equal in the first `keys` columns, about `least` rows at once, and the number of each row's run."""
+    held: pa.Table | None = None
+
+    def places(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, rows.num_rows - 1), bool)
+        for column in rows.columns[:keys]:
+            values = column.combine_chunks()
+            values = values.to_numpy() if pa.types.is_integer(column.type) else np.array(values.to_pylist(), object)
+            new |= values[1:] != values[:-1]
+        return np.cumsum(np.r_[0, new])
+
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        if held.num_rows >= least:
+            run = places(held)
+            if cut := int(np.searchsorted(run, run[-1])):
+                yield done(held.slice(0, cut), run[:cut])
+                held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield done(held, places(held))
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within runs of rows with equal key and block; the last run waits for the next batch."""
+    """Links of fingerprints within runs of rows with equal key and block."""
 
-    def done(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, block, fp = rows
-        group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        pairs = np.array(_joins(group, fp.view(_U), (key >> 30) & 7), np.int64).reshape(-1, 2)
+    def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        key, fp = (rows.column(c).combine_chunks().to_numpy() for c in ("key", "fp"))
+        bits, start = fp.view(_U), (key >> 30) & 7
+        pairs = np.array(_joins(run, lambda a, b: _linked(bits[a], bits[b], start[a])), np.int64).reshape(-1, 2)
         return pa.record_batch([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], names=["a", "b"])
 
-    held = [np.zeros(0, np.int64)] * 3
-    for batch in batches:
-        held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, batch.columns)]
-        new = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-        if len(new) and len(held[0]) >= 50_000:
-            cut = int(new[-1]) + 1
-            yield done([x[:cut] for x in held])
-            held = [x[cut:] for x in held]
-    if len(held[0]):
-        yield done(held)
+    yield from _runs(batches, 2, 50_000, done)
+
+
+def _dealt(keys: DataFrame, by: str, identity: str, hot: DataFrame | None) -> DataFrame:
+    """`keys` with `block`: 0, or for the values of `by` that `hot` has with a number of blocks `n`, each block that a row is compared in."""
+    if hot is None:
+        return keys.withColumn("block", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64(identity), F.col("n"))
+    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.least(own, x) * F.col("n") + F.greatest(own, x))
+    return keys.join(hot, by, "left").withColumn("block", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("n")
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -150,45 +218,130 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     # A key has no more fingerprints than its first segment alone: only where that has many are keys counted.
     first = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), (F.expr(f"(shiftrightunsigned(fp, {sum(WIDTHS[:i])}) & {(1 << w) - 1})")).alias("v")) for i, w in enumerate(WIDTHS)]))
     many = distinct.select(first.alias("x")).groupBy("x.s", "x.v").count().where(F.col("count") > block)
-    if many.isEmpty():
-        placed = keys.withColumn("block", F.lit(0).cast("long"))
-    else:
+    hot = None
+    if not many.isEmpty():
         hot = written(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / F.lit(block // 2)).alias("n")), "hot-keys")
-        own = F.pmod(F.xxhash64("fp"), F.col("n"))
-        others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.least(own, x) * F.col("n") + F.greatest(own, x))
-        placed = keys.join(hot, "key", "left").select("key", "fp", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)).alias("block"))
+    placed = _dealt(keys, "key", "fp", hot)
     return placed.select("key", "block", "fp").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links, "a long, b long")
 
 
-def _groups(marked: DataFrame, least: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fingerprints that no other links to (fp, first), those with links (fp, component, first), and the components (component, least).
-
-    `first` is the smallest value of `least` among a fingerprint's rows of `marked`, `least` that among a component's.
-    """
-    distinct = written(marked.groupBy("fp").agg(F.min(least).alias("first")), "distinct-fingerprints")
-    groups = written(connected_components(links(distinct)).withColumnsRenamed({"id": "fp"}).join(distinct, "fp"), "linked-fingerprints")
-    # Written, so that joins with it are between plain tables and Spark can split a component that is very large.
-    smallest = written(groups.groupBy("component").agg(F.min("first").alias("least")), "components")
-    return distinct.join(groups, "fp", "left_anti"), groups, smallest
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one a document."""
     marked = written(fingerprints(docs, text, (doc_id,)), "fingerprints")
-    alone, groups, smallest = _groups(marked, F.col(doc_id))
+    distinct = written(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "distinct-fingerprints")
+    groups = written(connected_components(links(distinct)).withColumnsRenamed({"id": "fp"}).join(distinct, "fp"), "linked-fingerprints")
+    # Written, so that joins with it are between plain tables and Spark can split a component that is very large.
+    smallest = written(groups.groupBy("component").agg(F.min("first").alias("least")), "components")
     linked = groups.join(smallest, "component").select("fp", F.col("least").alias("component_id"))
-    of_fp = linked.union(alone.select("fp", F.col("first").alias("component_id")))
+    of_fp = linked.union(distinct.join(groups, "fp", "left_anti").select("fp", F.col("first").alias("component_id")))
     return marked.join(of_fp, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+# Similar texts: candidates by least shingles, pruned on the ring, compared by their sets.
+
+
+def sketch(text: str) -> tuple[bytes, np.ndarray, int, np.ndarray]:
+    """A digest of the words, the distinct shingles' hashes in order, their majority bits, and the least of them by each order."""
+    words = words_of(text)
+    shingles = np.unique(shingle_hashes(words, NEAR_SHINGLE))
+    least = (shingles * (_DRAWN[0] | _U(1)) + _DRAWN[1]).min(1) if len(shingles) else np.zeros(ORDERS, _U)
+    return hashlib.md5(b" ".join(words)).digest(), shingles, majority(shingles), least
+
+
+def sketches(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep` of `docs` and of each text `cls` (the digest of its words), `fp`, `least` and `bytes`."""
+
+    def start(_: str) -> Callable:
+        def make(texts: list[str]) -> list[pa.Array]:
+            found = [sketch(x) for x in texts]
+            fp = np.array([x[2] for x in found], _U).view(np.int64)
+            least = pa.array([x[3].view(np.int64) for x in found], pa.list_(pa.int64()))
+            return [pa.array([x[0] for x in found], pa.binary()), pa.array(fp), least, pa.array([len(x) for x in texts], pa.int64())]
+
+        return make
+
+    fields = [T.StructField("cls", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("least", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())]
+    return arrow_columns(docs, text, keep, fields, start, "")
+
+
+def candidates(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (a, b) of classes that share a least shingle and pass the ring and the full check; they connect whatever all such pairs connect."""
+    each = distinct.select(F.posexplode("least").alias("at", "least"), "fp", "cls").select(F.xxhash64("at", "least").alias("key"), "fp", "cls")
+    hot = written(each.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / F.lit(block // 2)).alias("n")), "hot-least")
+    placed = _dealt(each, "key", "cls", None if hot.isEmpty() else hot)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+            bits, cls = rows.column("fp").combine_chunks().to_numpy().view(_U), rows.column("cls").combine_chunks()
+            pairs = np.array(_joins(run, lambda a, b: _on_the_ring(bits[a] ^ bits[b], NEAR_BITS)), np.int64).reshape(-1, 2)
+            return pa.record_batch([cls.take(pa.array(pairs[:, 0])), cls.take(pa.array(pairs[:, 1]))], names=["a", "b"])
+
+        yield from _runs(batches, 2, 50_000, done)
+
+    return placed.select("key", "block", "fp", "cls").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "a binary, b binary")
+
+
+def similar(texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of places that join the texts as all pairs with the similarity or more would."""
+    made = [sketch(x) for x in texts]
+    values, flat = np.unique(np.concatenate([x[1] for x in made]), return_inverse=True)
+    sizes = np.array([len(x[1]) for x in made])
+    ends = np.cumsum(sizes)
+    fp, least = np.array([x[2] for x in made], _U), np.array([x[3] for x in made])
+    label, out, mine = np.arange(len(texts)), [], np.zeros(len(values), bool)
+    for i in range(len(texts) - 1):
+        apart = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        apart = apart[np.minimum(sizes[apart], sizes[i]) >= similarity * np.maximum(sizes[apart], sizes[i]) - 1e-9]
+        apart = apart[(least[apart] == least[i]).any(1)]
+        apart = apart[_on_the_ring(fp[apart] ^ fp[i], NEAR_BITS)]
+        if not len(apart) or not sizes[i]:
+            continue
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        mine[own] = True
+        theirs = mine[np.concatenate([flat[ends[j] - sizes[j] : ends[j]] for j in apart.tolist()])]
+        shared = np.add.reduceat(theirs, np.cumsum(np.r_[0, sizes[apart][:-1]]), dtype=np.int64)
+        mine[own] = False
+        for j in apart[shared >= similarity * (sizes[apart] + sizes[i] - shared) - 1e-9].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def similar_classes(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Rows (cls, component) of the classes that are similar to others. `distinct` has cls, fp, least, bytes and the `key` of a text of `texts` (key, text)."""
+    near = written(connected_components(candidates(distinct, block), kind="binary").withColumnRenamed("id", "cls").join(distinct.select("cls", "key", "bytes"), "cls"), "candidates")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block // 2)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES // 2)))
+    hot = written(near.groupBy("component").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), blocks.alias("n")).where((F.col("count") > block) | (F.col("bytes") > BLOCK_BYTES)).select("component", "n"), "hot-candidates")
+    placed = _dealt(near.join(texts, "key"), "component", "cls", None if hot.isEmpty() else hot)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+            cls, pairs = rows.column("cls").combine_chunks(), []
+            for first, end in pairwise([*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(run)]):
+                pairs += [(first + a, first + b) for a, b in similar(rows.column("text").slice(first, end - first).to_pylist(), similarity)]
+            pairs = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.record_batch([cls.take(pa.array(pairs[:, 0])), cls.take(pa.array(pairs[:, 1]))], names=["a", "b"])
+
+        yield from _runs(batches, 2, 0, done)
+
+    found = placed.select("component", "block", "cls", "text").repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a binary, b binary")
+    return connected_components(found, kind="binary").withColumnRenamed("id", "cls")
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, in the columns of `docs`: that with the smallest id, null ids last.
 
-    Of a group's texts with that same id it is the one with the smallest fingerprint, then digest; of rows equal in both id and text any one.
+    Groups are what pairs of texts whose five-word shingles have the `similarity` or more connect. Of a group's texts with
+    that same id it is the one with the smallest digest; of rows equal in both id and text any one.
     """
     the_id, digest = F.col(f"`{doc_id}`"), F.md5(text_of(F.col(f"`{text}`")).cast("binary"))
     key = F.when(the_id.isNull(), digest).otherwise(F.concat(digest, the_id.cast("string")))  # a digest has always the same length
-    marked = fingerprints(docs.select(the_id.alias("id"), F.col(f"`{text}`").alias("text"), key.alias("key")), "text", ("id", "key"))
-    alone, _, smallest = _groups(marked, F.struct(F.col("id").isNull(), "id", "fp", "key"))
-    first = alone.select(F.col("first.key").alias("__key")).union(smallest.select("least.key"))
-    return docs.withColumn("__key", key).join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*[f"`{c}`" for c in docs.columns])
+    plain = docs.select(the_id.alias("id"), text_of(F.col(f"`{text}`")).alias("text"), key.alias("key"))
+    marked = written(sketches(plain, "text", ("id", "key")), "sketches")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")
+    distinct = written(marked.groupBy("cls").agg(first, *[F.any_value(c).alias(c) for c in ("fp", "least", "bytes")]).withColumn("key", F.col("first.key")), "distinct-texts")
+    # Repeated rows go before the join: they sum up before the shuffle that both then share.
+    groups = similar_classes(distinct, plain.select("key", "text").dropDuplicates(["key"]), similarity)
+    stay = written(distinct.join(groups, "cls", "left").groupBy(F.coalesce("component", "cls")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")), "survivors")
+    return docs.withColumn("__key", key).dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -336,12 +336,73 @@ def test_simhash(spark, docs, sf_dir):
     assert sorted((r.doc_id, r.fingerprint) for r in got) == sorted((r.doc_id, f"{fp[r.doc_id]:016x}") for r in rows)
     want = roots(fp, [(a, b) for a, b in combinations(fp, 2) if (fp[a] ^ fp[b]).bit_count() <= 4])
     assert {r.doc_id: r.component_id for r in got} == want
-    stay = simhash.drop_near_duplicates(table)
-    assert sorted(r.doc_id for r in stay.collect()) == sorted({*want.values()})
-    assert simhash.drop_near_duplicates(docs).schema == docs.schema
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_similar(texts):
+    """For each text by its id the smallest id reachable by five-word Jaccard similarities of 0.8 or more."""
+    sets, by = {i: brute_shingles(t) for i, t in texts.items()}, {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    pairs = {p for ids in by.values() for p in combinations(ids, 2)} | set(combinations([i for i, s in sets.items() if not s], 2))
+    return roots(texts, [(a, b) for a, b in pairs if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+
+
+def edited(rng, words, times):
+    """A near copy: words replaced, left out or put in at random places."""
+    words = list(words)
+    for _ in range(times):
+        at, how = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+        words[at : at + (how < 2)] = [] if how == 0 else [f"new{rng.integers(0, 10**6)}"]
+    return words
+
+
+def test_similar_texts_go(spark, docs, sf_dir):
+    """Groups of near copies from far below to far above the similarity; one document of each stays."""
+    rng, texts = np.random.default_rng(11), {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    passage = [f"p{i}" for i in range(60)]
+    for g in range(40):
+        base = [f"w{rng.integers(0, 400)}" for _ in range(int(rng.integers(6, 250)))] + passage * (g % 3 == 0)
+        for _ in range(8):
+            texts[10_000 + len(texts)] = " ".join(edited(rng, base, int(rng.integers(0, 1 + len(base) // 25))))
+    texts |= {20_000: "a b", 20_001: "A  b", 20_002: "a c", 20_003: " ", 20_004: "a b c d e f g h", 20_005: "a b c d e f g h " * 30}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = {*brute_similar(texts).values()}
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(table).collect())
+    assert len(want) < len(texts) - 150 and got == sorted(want)
+    assert simhash.drop_near_duplicates(docs).schema == docs.schema
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_in_blocks(spark, monkeypatch):
+    """Keys and candidates beyond a block give the same groups."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(edited(rng, base, int(rng.integers(0, 6)))) for i in range(120)}
+    table = spark.createDataFrame([(i, t, str(i)) for i, t in texts.items()], "id long, text string, key string")
+    marked = simhash.sketches(table, "text", ("id", "key")).persist()
+    cls = {r.cls: r.id for r in marked.collect()}
+    for block in (4096, 20):
+        comps = Counter(r.component for r in simhash.similar_classes(marked.dropDuplicates(["cls"]), table.select("key", "text"), block=block).collect())
+        assert sorted(comps.values()) == sorted(n for n in Counter(brute_similar({i: texts[i] for i in cls.values()}).values()).values() if n > 1)
+
+
+def test_ring_loses_no_pair_within_the_budget():
+    rng = np.random.default_rng(13)
+    a = rng.integers(0, 2**64, 20_000, np.uint64)
+    b = a.copy()
+    for _ in range(30):
+        b ^= np.where(rng.random(len(a)) < 0.9, np.uint64(1) << rng.integers(0, 64, len(a)).astype(np.uint64), np.uint64(0))
+    for budget in (4, 13, 24):
+        assert simhash._on_the_ring(a ^ b, budget).tolist() == np.flatnonzero(np.bitwise_count(a ^ b) <= budget).tolist()
+
+
 def test_one_document_of_each_group_stays(spark):
     """Null ids and an id with several texts: groups are told by text, not by id."""
     a, b, c, d = (" ".join(f"{k}{i}" for i in range(200)) for k in "abcd")
@@ -400,8 +461,7 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     kept = {i: v[8] for i, t in texts.items() if (v := quality.judge(t))[6]}
-    fp = {i: brute_fingerprint(t) for i, t in kept.items()}
-    stay = {*roots(fp, [(a, b) for a, b in combinations(fp, 2) if (fp[a] ^ fp[b]).bit_count() <= 4]).values()}
+    stay = {*brute_similar(kept).values()}
     source = {r.doc_id: r.source for r in docs.collect()}
     total, target = brute_mix([(i, source[i], kept[i]) for i in stay])
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
