@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each
 stage's rows as Parquet to the shared folder and reads them back for the next.
+
+Results: a null text is the empty text, which the first stage rejects; null ids are
+kept and told apart by their texts; of rows equal in id and text one goes on from
+the second stage; ties there go by id, null last, then by the text's digest; an
+empty table gives no rows in any stage; extra columns pass through all but the last.
 """
 
 from __future__ import annotations
@@ -14,22 +19,22 @@ from tandem.llm.shared import remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, with the lines that pass."""
+    """Documents that pass the rules, with the lines that pass; repeated rows stay as often as they come, null and empty texts go."""
     return quality.clean(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
+    """One document of each group of near copies, which five-word shingles with a similarity of 0.8 or more connect: that with the smallest id, null last."""
     return simhash.drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights; a document taken more than once is as many rows."""
+    """The sources, null one of them, mixed to their target weights; a document taken more than once is as many rows, the last cut perhaps."""
     return mixing.mix(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document: doc_id, source, ids."""
+    """The ids of each row's text: doc_id, source, ids; a text without tokens has an empty list."""
     return bpe.encode(docs, tokenizer_path(), keep=("doc_id", "source"))
 
 
