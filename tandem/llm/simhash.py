@@ -17,11 +17,12 @@ compared in a place of its own.
 `drop_near_duplicates` removes near copies by what two texts share: five-word
 shingles with a Jaccard similarity of 0.8 or more. Such texts differ in up to
 about twenty bits, too many for segments to serve as keys. So texts meet where the
-least of their shingles by one of eight orders is the same, which two such texts
-miss with a chance of 0.2 to the eighth; the pigeonring, here with budgets for 24
-bits over the fingerprint of the distinct shingles, prunes those that meet before
-the full check of 64 bits; and what is left is compared by its whole sets of
-shingles, each text brought once to its group of candidates.
+least of their shingles by one of six orders is the same, which two such texts miss
+with a chance of 0.2 to the sixth; the pigeonring, here with budgets for 24 bits
+over the fingerprint of the distinct shingles, prunes those that meet before the
+full check of 64 bits; those that agree in fewer than 38 of 64 orders go too; and
+what is left is compared by its whole sets of shingles, each text brought once to
+its group of candidates. Of pairs at the similarity one in 5,000 is lost before that.
 
 Results: a null or empty text has the fingerprint zero, which links like any
 other in `near_duplicates`, and is similar only to other texts without a word; a
@@ -53,8 +54,9 @@ MAX_DIFFERENT, SHINGLE, SEED = 4, 4, 42
 WIDTHS = (13, 13, 13, 13, 12)
 #: Fingerprints of one key that a single place compares.
 BLOCK = 4096
-#: Of `drop_near_duplicates`: words of a shingle, similarity, orders by which least shingles are taken, bits that two similar texts may differ in.
-NEAR_SHINGLE, SIMILARITY, ORDERS, NEAR_BITS = 5, 0.8, 8, 24
+#: Of `drop_near_duplicates`: words of a shingle and similarity; orders by which least shingles are taken, how many of
+#: them are keys and how many must agree; bits that two similar texts may differ in.
+NEAR_SHINGLE, SIMILARITY, ORDERS, KEYS, AGREE, NEAR_BITS = 5, 0.8, 64, 6, 38, 24
 #: Bytes of texts that a single place compares, but for one text that has more.
 BLOCK_BYTES = 32 << 20
 _U = np.uint64
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def sketch(text: str) -> tuple[bytes, np.ndarray, int, np.ndarray]:
-    """A digest of the words, the distinct shingles' hashes in order, their majority bits, and the least of them by each order."""
+    """A digest of the words, the distinct shingles' hashes in order, their majority bits, and the least of them by each order, which agree by chance as often as texts are similar."""
     words = words_of(text)
     shingles = np.unique(shingle_hashes(words, NEAR_SHINGLE))
     least = (shingles * (_DRAWN[0] | _U(1)) + _DRAWN[1]).min(1) if len(shingles) else np.zeros(ORDERS, _U)
@@ -249,36 +251,45 @@ def sketch(text: str) -> tuple[bytes, np.ndarray, int, np.ndarray]:
 
 
 def sketches(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """The columns `keep` of `docs` and of each text `cls` (the digest of its words), `fp`, `least` and `bytes`."""
+    """The columns `keep` of `docs` and of each text `cls` (the digest of its words), `fp`, `keys`, `least` (16 bits of each order) and `bytes`."""
 
     def start(_: str) -> Callable:
         def make(texts: list[str]) -> list[pa.Array]:
             found = [sketch(x) for x in texts]
             fp = np.array([x[2] for x in found], _U).view(np.int64)
-            least = pa.array([x[3].view(np.int64) for x in found], pa.list_(pa.int64()))
-            return [pa.array([x[0] for x in found], pa.binary()), pa.array(fp), least, pa.array([len(x) for x in texts], pa.int64())]
+            keys = pa.array([x[3][:KEYS].view(np.int64) for x in found], pa.list_(pa.int64()))
+            least = pa.array([x[3].astype(np.uint16).tobytes() for x in found], pa.binary())
+            return [pa.array([x[0] for x in found], pa.binary()), pa.array(fp), keys, least, pa.array([len(x) for x in texts], pa.int64())]
 
         return make
 
-    fields = [T.StructField("cls", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("least", T.ArrayType(T.LongType())), T.StructField("bytes", T.LongType())]
+    fields = [T.StructField("cls", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("least", T.BinaryType()), T.StructField("bytes", T.LongType())]
     return arrow_columns(docs, text, keep, fields, start, "")
 
 
+def _close(fp: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Places of pairs of rows that keep to the ring, differ in few enough bits and agree in enough orders."""
+    at = _on_the_ring(fp[a] ^ fp[b], NEAR_BITS)
+    agree = [(least[a[part]] == least[b if isinstance(b, int) else b[part]]).sum(1) >= AGREE for part in (at[i : i + 50_000] for i in range(0, len(at), 50_000))]
+    return at[np.concatenate(agree)] if agree else at
+
+
 def candidates(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (a, b) of classes that share a least shingle and pass the ring and the full check; they connect whatever all such pairs connect."""
-    each = distinct.select(F.posexplode("least").alias("at", "least"), "fp", "cls").select(F.xxhash64("at", "least").alias("key"), "fp", "cls")
+    """Rows (a, b) of nodes that share a key and are close; they connect whatever all such pairs connect."""
+    each = distinct.select(F.posexplode("keys").alias("at", "key"), "fp", "least", "node").select(F.xxhash64("at", "key").alias("key"), "fp", "least", "node")
     hot = written(each.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / F.lit(block // 2)).alias("n")), "hot-least")
-    placed = _dealt(each, "key", "cls", None if hot.isEmpty() else hot)
+    placed = _dealt(each, "key", "node", None if hot.isEmpty() else hot)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
-            bits, cls = rows.column("fp").combine_chunks().to_numpy().view(_U), rows.column("cls").combine_chunks()
-            pairs = np.array(_joins(run, lambda a, b: _on_the_ring(bits[a] ^ bits[b], NEAR_BITS)), np.int64).reshape(-1, 2)
-            return pa.record_batch([cls.take(pa.array(pairs[:, 0])), cls.take(pa.array(pairs[:, 1]))], names=["a", "b"])
+            fp, node = (rows.column(c).combine_chunks().to_numpy() for c in ("fp", "node"))
+            least = np.frombuffer(b"".join(rows.column("least").to_pylist()), np.uint16).reshape(len(fp), ORDERS)
+            pairs = np.array(_joins(run, lambda a, b: _close(fp.view(_U), least, a, b)), np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
         yield from _runs(batches, 2, 50_000, done)
 
-    return placed.select("key", "block", "fp", "cls").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "a binary, b binary")
+    return placed.select("key", "block", "fp", "least", "node").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "a long, b long")
 
 
 def similar(texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -287,13 +298,12 @@ def similar(texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int,
     values, flat = np.unique(np.concatenate([x[1] for x in made]), return_inverse=True)
     sizes = np.array([len(x[1]) for x in made])
     ends = np.cumsum(sizes)
-    fp, least = np.array([x[2] for x in made], _U), np.array([x[3] for x in made])
+    fp, least = np.array([x[2] for x in made], _U), np.array([x[3] for x in made]).astype(np.uint16)
     label, out, mine = np.arange(len(texts)), [], np.zeros(len(values), bool)
     for i in range(len(texts) - 1):
         apart = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         apart = apart[np.minimum(sizes[apart], sizes[i]) >= similarity * np.maximum(sizes[apart], sizes[i]) - 1e-9]
-        apart = apart[(least[apart] == least[i]).any(1)]
-        apart = apart[_on_the_ring(fp[apart] ^ fp[i], NEAR_BITS)]
+        apart = apart[_close(fp, least, apart, i)]
         if not len(apart) or not sizes[i]:
             continue
         own = flat[ends[i] - sizes[i] : ends[i]]
@@ -308,25 +318,25 @@ def similar(texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int,
     return out
 
 
-def similar_classes(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Rows (cls, component) of the classes that are similar to others. `distinct` has cls, fp, least, bytes and the `key` of a text of `texts` (key, text)."""
-    near = written(connected_components(candidates(distinct, block), kind="binary").withColumnRenamed("id", "cls").join(distinct.select("cls", "key", "bytes"), "cls"), "candidates")
+def similar_nodes(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Rows (node, component) of the nodes that are similar to others. `distinct` has node, fp, keys, least, bytes and the `key` of a text of `texts` (key, text)."""
+    near = written(connected_components(candidates(distinct, block)).withColumnRenamed("id", "node").join(distinct.select("node", "key", "bytes"), "node"), "candidates")
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block // 2)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES // 2)))
     hot = written(near.groupBy("component").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), blocks.alias("n")).where((F.col("count") > block) | (F.col("bytes") > BLOCK_BYTES)).select("component", "n"), "hot-candidates")
-    placed = _dealt(near.join(texts, "key"), "component", "cls", None if hot.isEmpty() else hot)
+    placed = _dealt(near.join(texts, "key"), "component", "node", None if hot.isEmpty() else hot)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
-            cls, pairs = rows.column("cls").combine_chunks(), []
+            node, pairs = rows.column("node").combine_chunks().to_numpy(), []
             for first, end in pairwise([*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(run)]):
                 pairs += [(first + a, first + b) for a, b in similar(rows.column("text").slice(first, end - first).to_pylist(), similarity)]
             pairs = np.array(pairs, np.int64).reshape(-1, 2)
-            return pa.record_batch([cls.take(pa.array(pairs[:, 0])), cls.take(pa.array(pairs[:, 1]))], names=["a", "b"])
+            return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
         yield from _runs(batches, 2, 0, done)
 
-    found = placed.select("component", "block", "cls", "text").repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a binary, b binary")
-    return connected_components(found, kind="binary").withColumnRenamed("id", "cls")
+    found = placed.select("component", "block", "node", "text").repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long")
+    return connected_components(found).withColumnRenamed("id", "node")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -340,8 +350,10 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     plain = docs.select(the_id.alias("id"), text_of(F.col(f"`{text}`")).alias("text"), key.alias("key"))
     marked = written(sketches(plain, "text", ("id", "key")), "sketches")
     first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")
-    distinct = written(marked.groupBy("cls").agg(first, *[F.any_value(c).alias(c) for c in ("fp", "least", "bytes")]).withColumn("key", F.col("first.key")), "distinct-texts")
+    distinct = marked.groupBy("cls").agg(first, *[F.any_value(c).alias(c) for c in ("fp", "keys", "least", "bytes")])
+    # Numbers that hold once they are written: any that tell texts apart will do.
+    distinct = written(distinct.drop("cls").withColumns({"key": F.col("first.key"), "node": F.monotonically_increasing_id()}), "distinct-texts")
     # Repeated rows go before the join: they sum up before the shuffle that both then share.
-    groups = similar_classes(distinct, plain.select("key", "text").dropDuplicates(["key"]), similarity)
-    stay = written(distinct.join(groups, "cls", "left").groupBy(F.coalesce("component", "cls")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")), "survivors")
+    groups = similar_nodes(distinct, plain.select("key", "text").dropDuplicates(["key"]), similarity)
+    stay = written(distinct.select("node", "first").join(groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key")), "survivors")
     return docs.withColumn("__key", key).dropDuplicates(["__key"]).join(stay, "__key", "left_semi").select(*[f"`{c}`" for c in docs.columns])

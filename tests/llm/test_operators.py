@@ -388,8 +388,9 @@ def test_similar_texts_in_blocks(spark, monkeypatch):
     table = spark.createDataFrame([(i, t, str(i)) for i, t in texts.items()], "id long, text string, key string")
     marked = simhash.sketches(table, "text", ("id", "key")).persist()
     cls = {r.cls: r.id for r in marked.collect()}
+    distinct = marked.dropDuplicates(["cls"]).withColumn("node", F.col("id"))
     for block in (4096, 20):
-        comps = Counter(r.component for r in simhash.similar_classes(marked.dropDuplicates(["cls"]), table.select("key", "text"), block=block).collect())
+        comps = Counter(r.component for r in simhash.similar_nodes(distinct, table.select("key", "text"), block=block).collect())
         assert sorted(comps.values()) == sorted(n for n in Counter(brute_similar({i: texts[i] for i in cls.values()}).values()).values() if n > 1)
 
 
