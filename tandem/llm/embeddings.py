@@ -7,17 +7,21 @@ a key has so many bits that a bucket holds about `BUCKET` of n random vectors, a
 there are so many tables that a pair at the threshold shares a bucket in one of
 them with probability `recall` or more.
 
-Equal vectors are one row before that and link with each other uncompared. A pair
-counts in the first table that brings it together. Buckets lie in runs of sorted
-partitions, and leave it as a number of links for each vector and as links that
-join what the bucket joins: fewer rows than vectors, however dense it is. A bucket
-of more than `BLOCK` vectors is dealt out in blocks, each pair of which is
-compared in a place of its own.
+Equal vectors are one row before that and link with each other uncompared. What is
+shuffled for each table is not the vector but a sketch of `SKETCH` more signs: of
+vectors that share a key, those whose sketches differ in more bits than a pair at
+the threshold ever may are pruned, and the rest join to components of candidates.
+Each vector then goes once to the other candidates of its component, where all
+pairs are compared exactly: a vector leaves with its number of links, and a
+component with links that join what it joins, fewer rows than vectors, however
+dense it is. A bucket or component of more than `BLOCK` vectors is dealt out in
+blocks, each pair of which is compared in a place of its own.
 
 Results: null, zero and empty vectors and those with null or non-finite parts
 link with nothing; vectors of unequal length don't link; repeated rows are
-vectors of their own that link; null ids take part but never name a component;
-an empty table gives no rows; extra columns are left out.
+vectors of their own that link; null ids link like others but never name a
+component unless it has no other; an empty table gives no rows; extra columns are
+left out.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.llm.buckets import dealt, joins, runs
 from tandem.llm.components import connected_components
 from tandem.llm.shared import written
 
-COSINE, RECALL, BUCKET, BLOCK, SEED = 0.95, 0.9999, 64, 4096, 7
-_PAIRS = "cls long, links long, other long"
+COSINE, RECALL, BUCKET, BLOCK, SKETCH, SEED = 0.95, 0.9999, 64, 4096, 256, 7
 
 
 def plan_tables(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -44,117 +49,123 @@ def plan_tables(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
+def most_different(cosine: float = COSINE) -> int:
+    """Bits of a sketch in which a pair at `cosine` differs: its mean and 4.5 standard deviations, which one pair in 100,000 passes."""
+    p = math.acos(cosine) / math.pi
+    return math.ceil(SKETCH * p + 4.5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column whose lists are of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _signs(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, size, keys, sketch) of rows (node, embedding)."""
     planes: dict[int, np.ndarray] = {}
     weights = 1 << np.arange(bits, dtype=np.int64)
     for batch in batches:
-        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            vectors = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in part.column(2)]
-            keys = []
-            for v in vectors:
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), tables * bits))
-            for size in dict.fromkeys(map(len, vectors)):
-                rows = [i for i, v in enumerate(vectors) if len(v) == size]
-                signs = (np.stack([vectors[i] for i in rows]).astype(np.float64) @ planes[size]) > 0
-                keys += zip(rows, signs.reshape(len(rows), tables, bits) @ weights)
-            keys = [k.astype("<i4") for _, k in sorted(keys, key=lambda x: x[0])]
-            yield pa.record_batch([part.column(0), part.column(1), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(keys, pa.list_(pa.int32()))], names=["cls", "n", "vector", "keys"])
-
-
-def _compare(rows: dict[str, np.ndarray], vectors: np.ndarray, cosine: float) -> list[tuple[int, int, int | None]]:
-    """One bucket: for each vector its links that no earlier table has, and links that join what the bucket joins."""
-    cls, n, keys, table, own = rows["cls"], rows["n"], rows["keys"], rows["table"], rows["own"]
+        sizes = pc.list_value_length(batch.column(1)).to_numpy()
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            if size not in planes:
+                planes[size] = np.random.default_rng([seed, size]).standard_normal((size, tables * bits + SKETCH))
+            for part in (rows[i : i + 1000] for i in range(0, len(rows), 1000)):
+                signs = _matrix(batch.column(1).take(pa.array(part))) @ planes[size] > 0
+                keys = (signs[:, : tables * bits].reshape(len(part), tables, bits) @ weights).astype(np.int32)
+                sketch = np.packbits(signs[:, tables * bits :], axis=1)
+                ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * tables)
+                yield pa.record_batch([batch.column(0).take(pa.array(part)), pa.array(np.full(len(part), size, np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["node", "size", "keys", "sketch"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of nodes that join what the buckets' pairs of close sketches join."""
+
+    def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        node = rows.column("node").combine_chunks().to_numpy()
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+
+        def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            parts = range(0, len(a), 1 << 16)
+            return np.concatenate([np.flatnonzero(np.bitwise_count(sketch[a[i : i + (1 << 16)]] ^ sketch[b[i : i + (1 << 16)]]).sum(1, dtype=np.int64) <= most) + i for i in parts] or [np.zeros(0, np.int64)])
+
+        pairs = np.array(joins(run, close), np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
+
+    yield from runs(batches, 2, 50_000, done)
+
+
+def exact_links(vectors: np.ndarray, n: np.ndarray, own: np.ndarray, together: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each vector, of which there are `n`, the number of others that it links with, and links that join what all links join.
+
+    Two vectors of one block, `own`, are compared only if `together`: where that block meets itself.
+    """
     vectors = vectors / np.abs(vectors).max(1, keepdims=True)
-    norms, links, label, out = np.sqrt((vectors * vectors).sum(1)), np.zeros(len(cls), np.int64), np.arange(len(cls)), []
-    same_block = rows["block"] == own * rows["blocks"] + own
-    for start in range(0, len(cls), 256):
+    norms, links, label, out = np.sqrt((vectors * vectors).sum(1)), np.zeros(len(n), np.int64), np.arange(len(n)), []
+    for start in range(0, len(n), 256):
         part = slice(start, start + 256)
         close = (vectors[part] @ vectors.T) / (norms[part, None] * norms[None]) >= cosine
-        a, b = np.nonzero(close)
-        a, b = a[(keep := b > a + start)] + start, b[keep]
-        keep = (own[a] != own[b]) | same_block[a]
-        a, b = a[keep], b[keep]
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            new = ~(keys[x, : table[0]] == keys[y, : table[0]]).any(1)
-            np.add.at(links, x[new], n[y[new]])
-            np.add.at(links, y[new], n[x[new]])
-        ends = np.flatnonzero(np.r_[a[1:] != a[:-1], True]) + 1 if len(a) else []
-        for first, end in zip([0, *ends[:-1]], ends):
-            i, near = int(a[first]), b[first:end]
+        close &= np.arange(len(n))[None] > np.arange(start, start + len(close))[:, None]
+        close &= (own[part, None] != own[None]) | together[part, None]
+        links[part] += close @ n
+        links += n[part] @ close
+        for i in (np.flatnonzero(close.any(1)) + start).tolist():
+            near = np.flatnonzero(close[i - start] & (label != label[i]))
             theirs, where = np.unique(label[near], return_index=True)
-            for t, j in zip(theirs.tolist(), near[where].tolist()):
-                if t != label[i]:
-                    label[label == t] = label[i]
-                    out.append((int(cls[i]), 0, int(cls[j])))
-    return [*out, *((int(c), int(k), None) for c, k in zip(cls[links > 0], links[links > 0]))]
-
-
-def _flat(column: pa.Array, kind: type) -> np.ndarray:
-    """The values of a binary or list column whose rows are all of one length, as rows of an array."""
-    if pa.types.is_binary(column.type):
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
-    else:
-        values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column), -1)
-
-
-def _bucket_rows(batches: Iterator[pa.RecordBatch], cosine: float, item: int) -> Iterator[pa.RecordBatch]:
-    """Compares the rows of each bucket: runs of rows with equal size, table, key and block; the last run waits for the next batch."""
-    schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
-    names = ("cls", "n", "table", "own", "blocks", "block")
-    kind = np.float64 if item == 8 else np.float32
-    held: pa.Table | None = None
-
-    def done(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows, out = rows.combine_chunks().to_batches()[0], []
-        columns = {c: rows.column(c).to_numpy().astype(np.int64) for c in names}
-        for i, j in zip(starts, [*starts[1:], rows.num_rows]):
-            if j - i > 1:
-                part = rows.slice(i, j - i)
-                bucket = {c: x[i:j] for c, x in columns.items()} | {"keys": _flat(part.column("keys"), np.int32)}
-                out += _compare(bucket, _flat(part.column("vector"), kind).astype(np.float64), cosine)
-        yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=schema)
+            if len(theirs):
+                label[np.isin(label, theirs)] = label[i]
+                out += [(i, j) for j in near[where].tolist()]
+    return links, out
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        where = np.stack([held.column(c).to_numpy() for c in ("size", "table", "key", "block")])
-        starts = np.flatnonzero(np.r_[True, (where[:, 1:] != where[:, :-1]).any(0)])
-        if len(starts) > 1:
-            yield from done(held.slice(0, starts[-1]), starts[:-1])
-            held = held.slice(starts[-1])
-    if held is not None and held.num_rows:
-        yield from done(held, np.array([0]))
+
+def _compared(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Rows (node, links, other) of the rows of each component and block: a node with its number of links or with a node that it links with."""
+
+    def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        node, n, own, n_blocks, block = (rows.column(c).combine_chunks().to_numpy() for c in ("node", "n", "own", "n_blocks", "block"))
+        out: list[tuple[int, int, int | None]] = []
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(run)]):
+            vectors = _matrix(rows.column("embedding").combine_chunks().slice(i, j - i))
+            links, pairs = exact_links(vectors, n[i:j], own[i:j], (block == own * n_blocks + own)[i:j], cosine)
+            out += [(int(node[i + k]), int(links[k]), None) for k in np.flatnonzero(links).tolist()]
+            out += [(int(node[i + a]), 0, int(node[i + b])) for a, b in pairs]
+        return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["node", "links", "other"])
+
+    yield from runs(batches, 2, 0, done)
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one a vector."""
-    item = 8 if vectors.schema[embedding].dataType.elementType.typeName() == "double" else 4
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     usable = rows.where(good)
-    classes = written(usable.groupBy("embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "vector-classes")
+    # Numbers that hold once they are written: any that tell vectors apart will do.
+    classes = written(usable.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     bits, tables = plan_tables(classes.count(), cosine, recall)
-    signed = written(classes.where("cls is not null").select("cls", "n", "embedding").mapInArrow(lambda x: _signatures(x, bits, tables, SEED), "cls long, n long, vector binary, keys array<int>"), "signatures")
-
-    each = signed.select("cls", "n", "vector", "keys", F.octet_length("vector").alias("size"), F.posexplode("keys").alias("table", "key"))
-    hot = written(each.groupBy("size", "table", "key").count().where(F.col("count") > block), "hot-buckets")
-    if hot.isEmpty():
-        placed = each.withColumns({"own": F.lit(0), "blocks": F.lit(1), "block": F.lit(0)})
-    else:
-        joined = each.join(hot, ["size", "table", "key"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / F.lit(block // 2)), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least("own", x) * F.col("blocks") + F.greatest("own", x))
-        placed = joined.withColumn("block", F.explode(pairs)).drop("count")
-    where = ["size", "table", "key", "block"]
-    found = written(placed.repartition(*where).sortWithinPartitions(*where).mapInArrow(lambda x: _bucket_rows(x, cosine, item), _PAIRS), "links")
-
-    groups = connected_components(found.where("other is not null"), "cls", "other").withColumnsRenamed({"id": "cls"})
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "cls", "left").join(groups, "cls", "left").select("embedding", "cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
-    linked = usable.join(named, "embedding").select("vec_id", "n_links", "component_id")
+    signed = written(classes.select("node", "embedding").mapInArrow(lambda x: _signs(x, bits, tables, SEED), "node long, size int, keys array<int>, sketch binary"), "signs")
+
+    each = signed.select("node", "sketch", "size", F.posexplode("keys").alias("table", "key")).select(F.xxhash64("size", "table", "key").alias("key"), "node", "sketch")
+    many = F.ceil(F.col("count") / F.lit(block // 2)).alias("n")
+    hot = written(each.groupBy("key").count().where(F.col("count") > block).select("key", many), "hot-buckets")
+    placed = dealt(each, "key", "node", None if hot.isEmpty() else hot).select("key", "block", "node", "sketch")
+    most = most_different(cosine)
+    pairs = placed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda x: _candidates(x, most), "a long, b long")
+
+    near = written(connected_components(pairs).withColumnRenamed("id", "node"), "candidates")
+    large = written(near.groupBy("component").count().where(F.col("count") > block).select("component", many), "large-candidates")
+    placed = dealt(near.join(classes, "node"), "component", "node", None if large.isEmpty() else large).select("component", "block", "own", "n_blocks", "node", "n", "embedding")
+    found = written(placed.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(lambda x: _compared(x, cosine), "node long, links long, other long"), "links")
+
+    groups = connected_components(found.where("other is not null"), "node", "other").withColumnRenamed("id", "node")
+    of_node = found.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node").join(classes.select("node", "least"), "node")
+    of_node = written(of_node, "linked-vectors")
+    smallest = written(of_node.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    linked = of_node.join(smallest, "component").select("node", "links", "component_id", F.lit(True).alias("is_linked"))
+    component = F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("least"))
+    named = classes.join(linked, "node", "left").select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"))
+    out = usable.join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

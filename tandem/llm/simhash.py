@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tandem.llm.buckets import dealt, joins, runs
 from tandem.llm.components import connected_components
 from tandem.llm.shared import arrow_columns, text_of, written
 
@@ -144,74 +145,16 @@ def _on_the_ring(different: np.ndarray, budget: int) -> np.ndarray:
     return at[np.bitwise_count(different[at]) <= budget]
 
 
-def _joins(group: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the rows of each group as all its links would; groups are runs. `linked` gives the places of two lists of rows that link."""
-    label, out, active, lag = np.arange(len(group)), [], np.arange(len(group)), 1
-    while True:
-        active = active[active + lag < len(group)]
-        active = active[group[active] == group[active + lag]]
-        if not len(active):
-            return out
-        apart = active[label[active] != label[active + lag]]
-        found = apart[linked(apart, apart + lag)]
-        for i in found.tolist():
-            a, b = i, i + lag
-            while label[a] != a:
-                a = label[a]
-            while label[b] != b:
-                b = label[b]
-            if a != b:
-                label[max(a, b)] = min(a, b)
-                out.append((i, i + lag))
-        if len(found):
-            while not np.array_equal(label, flat := label[label]):
-                label = flat
-        lag += 1
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int, least: int, done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hands `done` whole runs of rows that are equal in the first `keys` columns, about `least` rows at once, and the number of each row's run."""
-    held: pa.Table | None = None
-
-    def places(rows: pa.Table) -> np.ndarray:
-        new = np.zeros(max(0, rows.num_rows - 1), bool)
-        for column in rows.columns[:keys]:
-            values = column.combine_chunks()
-            values = values.to_numpy() if pa.types.is_integer(column.type) else np.array(values.to_pylist(), object)
-            new |= values[1:] != values[:-1]
-        return np.cumsum(np.r_[0, new])
-
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        if held.num_rows >= least:
-            run = places(held)
-            if cut := int(np.searchsorted(run, run[-1])):
-                yield done(held.slice(0, cut), run[:cut])
-                held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield done(held, places(held))
-
-
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of fingerprints within runs of rows with equal key and block."""
 
     def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
         key, fp = (rows.column(c).combine_chunks().to_numpy() for c in ("key", "fp"))
         bits, start = fp.view(_U), (key >> 30) & 7
-        pairs = np.array(_joins(run, lambda a, b: _linked(bits[a], bits[b], start[a])), np.int64).reshape(-1, 2)
+        pairs = np.array(joins(run, lambda a, b: _linked(bits[a], bits[b], start[a])), np.int64).reshape(-1, 2)
         return pa.record_batch([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], names=["a", "b"])
 
-    yield from _runs(batches, 2, 50_000, done)
-
-
-def _dealt(keys: DataFrame, by: str, identity: str, hot: DataFrame | None) -> DataFrame:
-    """`keys` with `block`: 0, or for the values of `by` that `hot` has with a number of blocks `n`, each block that a row is compared in."""
-    if hot is None:
-        return keys.withColumn("block", F.lit(0).cast("long"))
-    own = F.pmod(F.xxhash64(identity), F.col("n"))
-    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.least(own, x) * F.col("n") + F.greatest(own, x))
-    return keys.join(hot, by, "left").withColumn("block", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others))).drop("n")
+    yield from runs(batches, 2, 50_000, done)
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -223,7 +166,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     hot = None
     if not many.isEmpty():
         hot = written(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / F.lit(block // 2)).alias("n")), "hot-keys")
-    placed = _dealt(keys, "key", "fp", hot)
+    placed = dealt(keys, "key", "fp", hot)
     return placed.select("key", "block", "fp").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links, "a long, b long")
 
 
@@ -278,16 +221,16 @@ def candidates(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (a, b) of nodes that share a key and are close; they connect whatever all such pairs connect."""
     each = distinct.select(F.posexplode("keys").alias("at", "key"), "fp", "least", "node").select(F.xxhash64("at", "key").alias("key"), "fp", "least", "node")
     hot = written(each.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / F.lit(block // 2)).alias("n")), "hot-least")
-    placed = _dealt(each, "key", "node", None if hot.isEmpty() else hot)
+    placed = dealt(each, "key", "node", None if hot.isEmpty() else hot)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
             fp, node = (rows.column(c).combine_chunks().to_numpy() for c in ("fp", "node"))
             least = np.frombuffer(b"".join(rows.column("least").to_pylist()), np.uint16).reshape(len(fp), ORDERS)
-            pairs = np.array(_joins(run, lambda a, b: _close(fp.view(_U), least, a, b)), np.int64).reshape(-1, 2)
+            pairs = np.array(joins(run, lambda a, b: _close(fp.view(_U), least, a, b)), np.int64).reshape(-1, 2)
             return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
-        yield from _runs(batches, 2, 50_000, done)
+        yield from runs(batches, 2, 50_000, done)
 
     return placed.select("key", "block", "fp", "least", "node").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "a long, b long")
 
@@ -323,7 +266,7 @@ def similar_nodes(distinct: DataFrame, texts: DataFrame, similarity: float = SIM
     near = written(connected_components(candidates(distinct, block)).withColumnRenamed("id", "node").join(distinct.select("node", "key", "bytes"), "node"), "candidates")
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(block // 2)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES // 2)))
     hot = written(near.groupBy("component").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), blocks.alias("n")).where((F.col("count") > block) | (F.col("bytes") > BLOCK_BYTES)).select("component", "n"), "hot-candidates")
-    placed = _dealt(near.join(texts, "key"), "component", "node", None if hot.isEmpty() else hot)
+    placed = dealt(near.join(texts, "key"), "component", "node", None if hot.isEmpty() else hot)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
@@ -333,7 +276,7 @@ def similar_nodes(distinct: DataFrame, texts: DataFrame, similarity: float = SIM
             pairs = np.array(pairs, np.int64).reshape(-1, 2)
             return pa.record_batch([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
-        yield from _runs(batches, 2, 0, done)
+        yield from runs(batches, 2, 0, done)
 
     found = placed.select("component", "block", "node", "text").repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(link, "a long, b long")
     return connected_components(found).withColumnRenamed("id", "node")

@@ -63,6 +63,38 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_without_ids_link(spark):
+    rows = [(None, [1.0, 0.0, 0.1]), (5, [1.0, 0.01, 0.1]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (None, [0.0, 1.0, 0.0]), (7, [1.0, 1.0, -1.0]), (None, None)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = [(None, 1, 5, False), (5, 1, 5, True), (None, 2, None, False), (None, 2, None, False), (None, 2, None, False), (7, 0, 7, True), (None, 0, None, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_recall_of_planted_pairs(spark):
+    """20,000 vectors with pairs at the threshold and a dense group that makes buckets and a component larger than a block; against brute force."""
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((8000, 64)))
+    other = rng.standard_normal((8000, 64))
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    pairs = 0.9501 * base + np.sqrt(1 - 0.9501**2) * other
+    dense = unit(base[:1] + 0.02 * rng.standard_normal((4000, 64)))
+    v = np.vstack([base, pairs, dense]).astype(np.float32)
+    want = set()
+    w = unit(v.astype(float))
+    n_links = np.zeros(len(v), np.int64)
+    for i in range(0, len(v), 1000):
+        close = w[i : i + 1000] @ w.T >= 0.95
+        n_links[i : i + 1000] = close.sum(1) - 1
+        want |= {(int(a) + i, int(b)) for a, b in zip(*np.nonzero(close)) if int(a) + i < b and not (a + i >= 16_000 and b >= 16_000)}
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(8), block=1000).collect()
+    found = sum(r.n_links for r in got)
+    print("recall of links", found / int(n_links.sum()), "of planted pairs", np.mean([r.n_links > 0 for r in got if r.vec_id < 16_000]))
+    assert found <= int(n_links.sum()) and np.mean([r.n_links == n_links[r.vec_id] for r in got]) >= 0.9995
+    comp = roots(range(len(v)), want | {(16_000, i) for i in range(16_001, 20_000)})
+    assert np.mean([r.component_id == comp[r.vec_id] for r in got]) >= 0.999
+
+
 def test_enough_tables():
     for n in (100, 50_000, 10**8):
         bits, tables = embeddings.plan_tables(n)
