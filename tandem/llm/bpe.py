@@ -7,7 +7,7 @@ changed since is stale and skipped. Decoding concatenates vocabulary strings.
 
 Results: a null text counts as the empty text, which has no ids and decodes to
 the empty text; other columns pass through or are left out, whatever their
-names; repeated rows give repeated results. Very long texts take time in
+names; repeated rows give repeated results; an empty table gives no rows. Very long texts take time in
 proportion to n log n of their longest pre-token and memory in proportion to
 their length.
 """

@@ -2,15 +2,17 @@
 
 Each document gets a key drawn from a hash of the seed and its id. Within its
 source, documents are sorted by that key in ranges of the key's leading digits:
-one range holds about `RANGE_ROWS` documents, however large its source. Sums of
+one range holds about `RANGE_ROWS` documents, however large its source. A range
+that many rows of one id or of no id fill is split further by a hash of their
+contents. Sums of
 the ranges, added up range by range, give each document the size of all that
 come before it, and each source is cut at its exact budget: as many whole epochs
 as fit, and of one more the documents up to the budget, the last of them in part.
 
 Results: a null text has size 0; null is a source of its own; sources of size 0
-get nothing; documents with equal keys go by id, then size; equal rows are told
-apart by nothing, and which of them is cut is not defined, only how much; null ids
-come first; an empty table gives no rows; extra columns pass through `mix` unread
+get nothing; documents with equal keys go by id, then size; rows equal in id and
+text are told apart by nothing and share a range, and which of them is cut is not
+defined, only how much; null ids come first; an empty table gives no rows; extra columns pass through `mix` unread
 and are left out of `mixed_amounts`.
 """
 
@@ -53,13 +55,20 @@ def words_in(text: str = "text") -> Column:
     return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
 
 
-def _taken(sized: DataFrame, seed: str, weights: tuple[int, ...], epochs: int, *extra: str) -> DataFrame:
-    """Rows (doc_id, source, `extra`, size) with the source's size and target and the amount taken."""
+def _taken(sized: DataFrame, seed: str, weights: tuple[int, ...], epochs: int, *extra: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows (doc_id, source, `extra`, size) with the source's size and target and the amount taken; `sized` has a hash of the content, `__tag`."""
     n = sized.count()
-    digits = max(0, math.ceil(math.log(max(1, n / RANGE_ROWS), 16)))
+    digits = max(0, math.ceil(math.log(max(1, n / range_rows), 16)))
     keyed = sized.withColumn("__key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     keyed = keyed.withColumn("__range", F.substring("__key", 1, digits))
-    within = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # Keys of distinct ids fill ranges evenly; one far above the mean holds rows of one id, or of none.
+    hot = keyed.groupBy("source", "__range").count().where(F.col("count") > 4 * range_rows)
+    hot = written(hot.select(F.col("source").alias("h_source"), F.col("__range").alias("h_range"), F.ceil(F.log(16.0, F.col("count") / range_rows)).cast("int").alias("__more")), "hot-ranges")
+    if not hot.isEmpty():
+        keyed = keyed.join(hot, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("__range") == F.col("h_range")), "left").drop("h_source", "h_range")
+        within = F.substring(F.md5(F.concat(F.lit(seed), F.col("__tag").cast("string"))), F.lit(1), F.coalesce("__more", F.lit(0)))
+        keyed = keyed.withColumn("__range", F.concat("__range", within)).drop("__more")
+    within = Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size", "__tag").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("__inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     ranges = keyed.groupBy("source", "__range").agg(F.sum("size").alias("__sum"))
     earlier = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,7 +86,7 @@ def _taken(sized: DataFrame, seed: str, weights: tuple[int, ...], epochs: int, *
 
 def mixed_amounts(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, text: str = "text") -> DataFrame:
     """For each document its size in words, its source's size and target, and the words that the mix takes of it."""
-    sized = written(docs.select("doc_id", "source", words_in(text).alias("size")), "sizes")
+    sized = written(docs.select("doc_id", "source", words_in(text).alias("size"), F.xxhash64(text).alias("__tag")), "sizes")
     return _taken(sized, seed, weights, epochs)
 
 

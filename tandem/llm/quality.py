@@ -13,7 +13,7 @@ loses more than `MAX_LOST` percent of its words goes as a whole. A line fails if
 A document also goes if its base counts fail: fewer than 10 words, or more than
 a fifth of its words in five-word windows that occur twice.
 
-Results: a null or empty text has no words and goes; repeated rows are judged
+Results: a null or empty text has no words and goes; an empty table gives no rows; repeated rows are judged
 alike; extra columns pass through `clean` unread. A very long text needs memory
 in proportion to its own length.
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,11 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a folder of this machine is chosen and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    all runs in this process, as in local tests, a folder of this machine is chosen
+    and set. What lies there stays until the folder's owner clears it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tandem-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -72,6 +76,17 @@ def by_bytes(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(i, rows)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all of the cluster's slots, where it is a plain scan in fewer than half as many parts, such as a file of one row group.
+
+    Rows are dealt in turn, so that equal ones don't meet. A plan that shuffles already has the parts that Spark gave it.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or 2 * df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def arrow_columns(df: DataFrame, value: str | Column, keep: tuple[str, ...], extra: list[T.StructField], start: Callable, fixed: str | bytes) -> DataFrame:
     """The columns `keep` of `df` and columns made from `value` in one Arrow pass.
 
@@ -93,4 +108,4 @@ def arrow_columns(df: DataFrame, value: str | Column, keep: tuple[str, ...], ext
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
     schema = T.StructType(kept.schema.fields + extra)
     names = schema.names
-    return df.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value")).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in keep], value.alias("__value"))).mapInArrow(run, schema)

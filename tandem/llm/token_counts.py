@@ -9,7 +9,10 @@ without such a place stays whole. Other kinds of tokenizer (other pre-tokenizers
 sentencepiece models) may look across white space: their texts stay whole.
 
 Results: a null text counts as the empty text, with no tokens; repeated rows give
-repeated results; extra columns are left out, whatever their names.
+repeated results; an empty table gives no rows; extra columns are left out,
+whatever their names. A text or stretch that can't be split needs memory in
+proportion to its length, and a stretch without white space the library's time for
+one pre-token of that length.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from hashlib import sha256
 
 import pyarrow as pa
 import regex
@@ -73,10 +77,13 @@ def _counter(kind: str, data: bytes, batch_bytes: int) -> Callable[[list[str]],
             owners.clear()
 
         for i, text in enumerate(texts):
-            for part in parts(text, size) if size and len(text) > size else [text]:
+            n_bytes = len(text.encode())
+            # Characters that make up about as many bytes as a batch holds.
+            whole = not size or n_bytes <= size
+            for part in [text] if whole else parts(text, max(1, size * len(text) // n_bytes)):
                 batch.append(part)
                 owners.append(i)
-                held += len(part)
+                held += n_bytes if whole else len(part.encode())
                 if held >= batch_bytes:
                     flush()
                     held = 0
@@ -93,7 +100,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", keep: t
         data = f.read()
 
     def start(fixed: bytes) -> Callable:
-        key = f"{kind} {batch_bytes} {hash(fixed)}"
+        key = f"{kind} {batch_bytes} {sha256(fixed).hexdigest()}"
         if key not in _loaded:
             _loaded[key] = _counter(kind, fixed, batch_bytes)
         return lambda texts: [pa.array(_loaded[key](texts), pa.int64())]

@@ -4,8 +4,9 @@ Documents are range-partitioned and sorted by id; each partition is encoded by
 the tokenizers library and written as one shard: an Arrow IPC stream whose rows
 are sequences of exactly `length` ids in the smallest unsigned type that holds
 the vocabulary, beside a mask of equal length that is false only on the filling
-at a shard's end. Every row has the same width, so row i of a mapped shard is
-found without reading another and without a copy. A second stream beside it
+at a shard's end. Every row has the same width and every block but a shard's last
+the same number of rows, so `Shard.row` finds row i of a mapped shard without
+reading another and without a copy. A second stream beside it
 lists each document's place in the shard. A task writes under a name of its own
 attempt and returns it; only names in the written manifest count, so a task that
 runs again leaves a file that nobody reads.
@@ -27,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -49,7 +51,7 @@ REMEMBER_CHARS, REMEMBER = 32, 500_000
 ROWS = 1024
 _SPACES = re.compile(r" (?:\s|$)|\s ")
 _RARE = re.compile(r"[^\S \n]")
-_encoders: dict[int, LibraryEncoder] = {}
+_encoders: dict[str, LibraryEncoder] = {}
 
 
 def single_spaced(text: str) -> bool:
@@ -161,7 +163,7 @@ class LibraryEncoder:
 
 
 def _encoder(file_text: str) -> LibraryEncoder:
-    key = hash(file_text)
+    key = sha256(file_text.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = LibraryEncoder(file_text)
@@ -194,10 +196,9 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, file_text: str,
                 n_held, n_docs, n_tokens = n_held + int(sizes.sum()), n_docs + len(sizes), n_tokens + int(sizes.sum())
                 if n_held >= BLOCK_ROWS * length:
                     flat = np.concatenate(held)
-                    full = len(flat) // length * length
+                    full = len(flat) // (BLOCK_ROWS * length) * BLOCK_ROWS * length
                     for i in range(0, full, BLOCK_ROWS * length):
-                        part = flat[i : min(full, i + BLOCK_ROWS * length)]
-                        ids_out.write_batch(block(part, len(part)))
+                        ids_out.write_batch(block(flat[i : i + BLOCK_ROWS * length], BLOCK_ROWS * length))
                     held, n_held = [flat[full:]], len(flat) - full
             if n_held:
                 flat = np.concatenate(held)
@@ -247,6 +248,24 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.select("shard", "ids_path", "index_path", "start").repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(partial(_read_shards, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+class Shard:
+    """A shard of ids mapped from a local path: rows by number, as views of the file."""
+
+    def __init__(self, path: str):
+        self.file = pa.memory_map(path)
+        stream = pa.ipc.open_stream(self.file)
+        self.schema, self.first = stream.schema, self.file.tell()
+        stream.read_next_batch()
+        self.step = self.file.tell() - self.first
+
+    def row(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids of sequence i and its mask."""
+        block, k = divmod(i, BLOCK_ROWS)
+        self.file.seek(self.first + block * self.step)
+        rows = pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+        return rows.column(0)[k].values.to_numpy(), rows.column(1)[k].values
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Writes `docs` to a new shared folder and reads the files back."""
     folder = shared_dir(docs.sparkSession, "token-files")

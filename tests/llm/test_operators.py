@@ -324,6 +324,18 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == mixing.mixed_amounts(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_fill_many_ranges(spark):
+    """A hot key, null or repeated, is split by content; amounts are exact and reruns agree."""
+    rows = [(None if i % 3 else 7, "a", f"{i} " * (i % 7)) for i in range(3000)] + [(i, "b", "x y z") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = df.select("doc_id", "source", mixing.words_in().alias("size"), F.xxhash64("text").alias("__tag"))
+    first, again = (mixing._taken(x, "s", (5, 2, 1), 3, "__tag", range_rows=50) for x in (sized, sized.repartition(5)))
+    total, target = brute_mix(rows)
+    taken = {r.source: r.n for r in first.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert first.count() == 3100 and all(taken[s] == int(target[s] + 1e-9) for s in total)
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+
+
 # 6
 
 def test_urls(spark):

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tandem.llm import bpe, token_counts, token_files
+from tandem.llm import bpe, queries, token_counts, token_files
 from tandem.llm.queries import tokenizer_path
 from tandem.llm.shared import local_text, shared_dir
 
@@ -109,3 +109,47 @@ def test_files(spark, docs, tokenizer):
     assert str(table.schema.field("ids").type) == "fixed_size_list<item: uint16>[16]" and len(table) == -(-shard.n_tokens // 16)
     assert sum(x for row in table["mask"].to_pylist() for x in row) == shard.n_tokens
     assert token_files.round_trip(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_rows_of_a_shard(spark, tokenizer):
+    """Blocks are even but for the last, and row i is a view of the file."""
+    texts = [f"{i} " + "some words of a text " * (i % 90) for i in range(2000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    manifest = token_files.write_token_files(df, tokenizer_path(), shared_dir(spark, "t"), length=8)
+    n_short = 0
+    for shard in manifest.collect():
+        with pa.memory_map(shard.ids_path) as f:
+            blocks = list(pa.ipc.open_stream(f))
+            assert all(b.num_rows == token_files.BLOCK_ROWS for b in blocks[:-1])
+            rows = token_files.Shard(shard.ids_path)
+            flat = np.concatenate([b.column(0).flatten().to_numpy() for b in blocks])
+            n = sum(b.num_rows for b in blocks)
+            for i in {0, 1, n // 2, n - 2, n - 1, *range(0, n, 97)} & {*range(n)}:
+                ids, mask = rows.row(i)
+                assert ids.tolist() == flat[8 * i : 8 * i + 8].tolist() and sum(mask.to_pylist()) == min(8, shard.n_tokens - 8 * i) and not ids.flags.owndata
+            n_short += len(blocks) > 1
+    assert n_short
+
+
+def test_batches_are_balanced_by_bytes(tokenizer):
+    text = "\u65e5\u672c\u8a9e " * 4000
+    pieces = token_counts.parts(text, max(1, 1000 * len(text) // len(text.encode())))
+    assert max(len(p.encode()) for p in pieces) < 1100 and "".join(pieces) == text
+    assert sum(len(encode(tokenizer, p)) for p in pieces) == len(encode(tokenizer, text))
+
+
+@pytest.mark.parametrize("name", ["op5_bpe_codec", "op7_token_files", "op9_token_counts"])
+def test_registered_queries_equal_the_library(spark, sf_dir, tokenizer, name):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got, start = {r.doc_id: r for r in queries.queries()[name](spark, sf_dir).collect()}, 0
+    assert sorted(got) == sorted(texts)
+    for i, text in sorted(texts.items()):
+        ids, r = encode(tokenizer, text), got[i]
+        if name == "op5_bpe_codec":
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest())
+            assert r.decoded_sha256 == sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        elif name == "op9_token_counts":
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text or "").encode()), len(ids), len(ids) > 1024)
+        else:
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+            start += len(ids) + 1
