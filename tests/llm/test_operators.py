@@ -357,10 +357,10 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 2
     got = universe.where(cascade.contains(F.col("key")))
     assert got.exceptAll(listed).count() == 0 and got.count() == listed.count()
-    many = url_filter.build_cascades(universe, listed, max_bytes=2000)
-    assert len(many) > 1 and all(sum(len(x[2]) for x in c.levels) < 3000 for c in many)
+    many = url_filter.build_cascades(universe, listed, max_bytes=600)
+    assert len(many) > 2 and all(sum(len(x[2]) for x in c.levels) < 1200 for c in many)
     pages = spark.range(500).select(F.concat(F.lit("http://a.k"), "id", F.lit("/")).alias("url"))
-    by = [url_filter.judge_urls(pages, [], [], listed, max_bytes=m) for m in (1 << 20, 2000)]
+    by = [url_filter.judge_urls(pages, [], [], listed, max_bytes=m) for m in (1 << 20, 600)]
     assert sorted(map(str, by[0].collect())) == sorted(map(str, by[1].collect()))
     assert by[0].where("verdict = 'block'").count() == pages.where("url like '%7%'").count()
 
