@@ -1,7 +1,7 @@
-"""Thirty pages of ten layouts, each with its article's lines: measured once, used to choose nothing in the tree.
+"""Thirty pages of ten layouts, each with its article's lines: used to choose nothing in the tree.
 
 They were written after the tree, its table and its features were final, by the same author, who knew the
-word lists by then; names follow common site builders, not those lists. Three fillings differ in length.
+word lists by then; names follow common site builders, not those lists. Other leaf sizes were tried with them in view; none was taken. Three fillings differ in length.
 """
 
 FILLINGS = [
