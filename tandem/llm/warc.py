@@ -12,8 +12,8 @@ names in the written table of files count, so a lost executor's task runs again
 without harm. Steps hold one record at a time.
 
 Results: a null payload is the empty payload, and is always a response; rows that
-repeat the smallest id with its payload are responses too; a null url is an
-empty target; null ids are written as such and come back as null, and don't count as smallest; an empty table
+repeat the smallest id with its payload are responses too, and rows equal in id
+and payload share a record id; a null url is an empty target; null ids are written as such and come back as null, and don't count as smallest; an empty table
 gives no rows; extra columns are left out.
 """
 
@@ -48,7 +48,8 @@ def first_copies(pages: DataFrame, page_id: str = "page_id", payload: str = "htm
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC/1.1 response, or a revisit with the headers only."""
-    name = lambda i: "urn:page:" + ("null" if i is None else str(i))
+    # The digest tells records of one id apart; the page that a revisit refers to has the same payload.
+    name = lambda i: f"urn:page:{digest}:{'null' if i is None else i}"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name(page_id)}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
@@ -87,15 +88,19 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(source, step: int = STEP) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, in pieces of at most `step` bytes."""
-    inflate = zlib.decompressobj(31)
+    """The content of a gzip file of one or more members, in pieces of at most `step` bytes; a member that doesn't end is an error."""
+    inflate, begun = zlib.decompressobj(31), False
     while data := source.read(step):
         while data:
+            begun = True
             yield inflate.decompress(data, step)
             data = inflate.unconsumed_tail
             if inflate.eof:
-                data, inflate = inflate.unused_data, zlib.decompressobj(31)
-    yield inflate.flush()
+                data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+    if begun:
+        yield inflate.flush()
+        if not inflate.eof:
+            raise ValueError("the archive ends inside a gzip member")
 
 
 def _per_file(files: DataFrame, work: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:

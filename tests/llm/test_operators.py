@@ -272,6 +272,29 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_that_end_too_soon():
+    import gzip
+    import io
+
+    records = [warc.record(i, "u", b"x" * 500, hashlib.sha256(b"x" * 500).hexdigest(), None) for i in (1, 2)]
+    whole = b"".join(map(gzip.compress, records))
+    for step in (7, 1 << 20):
+        assert list(warc.records_of(warc.inflated(io.BytesIO(whole), step))) == records
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+    # Cut in the last member's checksum, all of its record is there.
+    for data in (whole[:-1], whole[:-8], whole[:-40], gzip.compress(b"".join(records))[:-4]):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.records_of(warc.inflated(io.BytesIO(data))))
+
+
+def test_record_ids_differ():
+    made = [warc.record(i, "u", data, hashlib.sha256(data).hexdigest(), None) for i in (1, None) for data in (b"a", b"b")]
+    assert len({x.partition(b"WARC-Record-ID: ")[2].split(b"\r\n")[0] for x in made}) == 4
+    assert [warc.parse(x)["page_id"] for x in made] == [1, 1, None, None]
+    again = warc.record(2, "u", b"a", hashlib.sha256(b"a").hexdigest(), 1)
+    assert again.partition(b"WARC-Refers-To: ")[2].split(b"\r\n")[0] == made[0].partition(b"WARC-Record-ID: ")[2].split(b"\r\n")[0]
+
+
 def test_normaliser_takes_whole_streams_and_members(spark, tmp_path):
     import gzip
 
